@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell.functions.binding import let
+from tidewell.storage import materialise
+
+__all__ = ["let", "map_slices", "materialise", "ranked", "shuffle_partitions"]
+
 #: White space as the operators' contracts define it: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression class body.
@@ -21,44 +24,6 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SLICE = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, for intermediate tables.
-
-    ``spark.checkpoint.dir`` names it. Only a local master, as in tests, may
-    go without: a temporary folder of this machine then serves.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="tidewell-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage: what reads the result survives the loss of any executor
-    and never computes ``df`` again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once for each row.
-
-    A name bound by a projection may be inlined into each of its uses, inside
-    a lambda even for each element; a lambda variable is never inlined.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def map_slices(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, list]], dict[str, list]]],

@@ -133,7 +133,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     """Gradient boosting of the logistic loss."""
     mean = float(y.mean()) if len(y) else 0.5
     trees: list[tuple[np.ndarray, ...]] = []
-    if 0 < mean < 1:
+    if len(y) and 0 < mean < 1:
         base = math.log(mean / (1 - mean))
         edges = edges_of(x)
         # A bin takes what is above the bound before it and up to its own.
