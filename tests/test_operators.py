@@ -1,0 +1,148 @@
+"""Ingest, counters, search and streams on hand-written rows."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell.functions import crypto
+from tidewell.operators import counters, maintenance, search, tables
+from tidewell.plans.filters import Filter
+from tidewell.sources import events
+from tidewell.streaming import live
+
+SECRET = (7).to_bytes(32, "big")
+
+
+def signed(**more) -> dict:
+    note = {"pubkey": crypto.public_key(SECRET).hex(), "created_at": 100, "kind": 1, "tags": [], "content": ""} | more
+    note["id"] = crypto.commitment(note).hex()
+    return note | {"sig": crypto.sign(SECRET, bytes.fromhex(note["id"])).hex()}
+
+
+def notes_of(spark, rows):
+    schema = "note_key long, id string, pubkey string, created_at long, kind long, content string, tags array<array<string>>"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_ingest(spark, tmp_path):
+    good, other = signed(content='say "hi"\n\\ é'), signed(content="two", created_at=101)
+    repost = signed(kind=6, content=json.dumps(signed(content="inside")))
+    changed = good | {"content": "changed"}
+    forged = signed(content="forged") | {"sig": "0" * 128}
+    lines = [
+        json.dumps(["EVENT", "sub", good]), json.dumps(["EVENT", other]), json.dumps(good), json.dumps(["EVENT", "s", repost]),
+        json.dumps(changed | {"id": "f" * 64}), json.dumps(forged), '["EOSE","s"]', "{bad", json.dumps({"id": "x"}),
+    ]
+    (tmp_path / "in.jsonl").write_text("\n".join(lines))
+    notes, relays = events.ingest(spark, str(tmp_path / "in.jsonl"), relay="wss://r")
+    assert sorted(r["content"] for r in notes.collect()) == sorted([good["content"], "two", repost["content"], "inside"])
+    assert relays.count() == 4
+    reject = F.when(F.col("kind") == 6, events.REJECT).otherwise(events.ACCEPT)
+    again, _ = events.ingest(spark, str(tmp_path / "in.jsonl"), stored=notes.where("content = 'two'"), decision=reject)
+    assert {r["content"] for r in again.collect()} == {good["content"], "inside"}
+    skipped, _ = events.ingest(spark, str(tmp_path / "in.jsonl"), decision=F.lit(events.SKIP_CHECKS))
+    assert "forged" in {r["content"] for r in skipped.collect()}
+
+
+def test_envelope_commands(spark):
+    lines = ['["OK","id1",false,"no"]', '["AUTH","c"]', '["EOSE","s"]', '["EVENT",{"a":1}]', '["EVENT","s",{"a":1}]']
+    rows = events.envelopes(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [r["command"] for r in rows] == ["OK", "AUTH", "EOSE", "EVENT", "EVENT"]
+    assert (rows[0]["ok"], rows[0]["message"], rows[1]["challenge"], rows[2]["subscription"]) == (False, "no", "c", "s")
+    assert (rows[3]["event"], rows[4]["event"], rows[4]["subscription"]) == ('{"a":1}', '{"a":1}', "s")
+
+
+def test_latest_profile_wins(spark):
+    rows = [(i, f"{i:064x}", "a" * 64, at, 0, json.dumps({"name": n}), []) for i, (at, n) in enumerate([(3, "c"), (1, "a"), (2, "b")])]
+    rows.append((9, "9" * 64, "b" * 64, 5, 0, "not json", []))
+    found = tables.latest_profiles(notes_of(spark, rows)).select("pubkey", "profile.name").collect()
+    assert ("a" * 64, "c") in [tuple(r) for r in found]
+
+
+def test_reactions_go_to_the_last_id(spark):
+    t, u = "1" * 64, "2" * 64
+    rows = [(1, "a", "p", 1, 7, "+", [["e", u], ["p", t], ["e", t]]), (2, "b", "p", 2, 7, "-", [["e", t]]), (3, "c", "p", 3, 7, "+", [])]
+    got = {(r["note_id"], r["reaction"]): r["n"] for r in counters.reactions(notes_of(spark, rows)).collect()}
+    assert got == {(t, "+"): 1, (t, "-"): 1}
+
+
+def test_zap_verification(spark):
+    target = "1" * 64
+    rows = [(i, f"z{i}", "p", i, 9735, "", [["e", target]]) for i in (1, 2)]
+    zaps = notes_of(spark, rows).withColumn("msats", F.lit(123_000))
+
+    def state(*ids):
+        done = spark.createDataFrame([(i,) for i in ids], "zap_id string")
+        r = counters.zaps(zaps, done, F.col("msats")).first()
+        return r["unverified"], int(r["unverified_msats"]), r["verified"], int(r["verified_msats"])
+
+    assert state() == (2, 246_000, 0, 0)
+    assert state("z1", "z1") == (1, 123_000, 1, 123_000)
+    assert state("z1", "z2") == (0, 0, 2, 246_000)
+
+
+def test_search(spark):
+    texts = ["the quick brown fox jumped", "quick dog jumps over it", "the fox jumped over the dog", "Été_là fox-trot"]
+    rows = [(i + 1, f"{i}", "p", 100 + i, 1, t, []) for i, t in enumerate(texts)] + [(9, "9", "p", 9, 7, "fox", [])]
+    notes = notes_of(spark, rows)
+    found = lambda q, **k: [r["note_key"] for r in search.search(notes, q, **k).collect()]
+    assert found("fox") == [4, 3, 1] and found("Fox", ascending=True) == [1, 3, 4]
+    assert found("jumped over") == [3] and found("jumpe OVER", limit=1) == [3]
+    assert found("a fox") == [4, 3, 1] and found("a") == [] and found("") == []
+    assert found("Été") == [4]
+    by_table = search.search_tokens(search.tokens(notes), "jumpe over").collect()
+    assert {r["note_key"] for r in by_table} == {2, 3}
+
+
+def test_names_walk(spark):
+    made = [("b", "Bob", "Robert"), ("a", "anna", "anna"), ("a", "Annabel", None), ("c", "anne", None)]
+    rows = [(i, str(i), p, i, 0, json.dumps({"name": n, "display_name": d}), []) for i, (p, n, d) in enumerate(made)]
+    notes = notes_of(spark, rows)
+    walk = lambda q, **k: [(r["key"], r["pubkey"]) for r in search.search_names(notes, q, **k).collect()]
+    assert walk("ANN") == [("anna", "a"), ("anne", "c"), ("bob", "b")]
+    assert walk("ann", prefix_only=True) == [("anna", "a"), ("anne", "c")]
+    assert walk("ann", limit=2) == [("anna", "a"), ("anne", "c")]
+
+
+def test_compact_keeps_order(spark):
+    rows = [(i * 10, str(i), "ab"[i % 2] * 64, i, i % 3, "", []) for i in range(20)]
+    out = maintenance.compact(notes_of(spark, rows), ["A" * 64]).orderBy("note_key").collect()
+    assert [r["created_at"] for r in out] == [i for i in range(20) if i % 3 == 0 or i % 2 == 0]
+    assert len({r["note_key"] for r in out}) == len(out)
+
+
+def test_subscriptions(spark, tmp_path):
+    rows = [(i, str(i), "a" * 64, i, i % 3, "", []) for i in range(9)]
+    notes = notes_of(spark, rows)
+    folder = tmp_path / "in"
+    notes.where("note_key < 0").write.parquet(str(folder))
+    stream = spark.readStream.schema(notes.schema).parquet(str(folder))
+    subs = live.Subscriptions(spark, stream)
+    number = subs.subscribe([Filter(kinds=[1]), Filter(since=8)])
+    notes.where("note_key < 5").write.mode("append").parquet(str(folder))
+    assert [r["note_key"] for r in subs.wait(number)] == [1, 4]
+    notes.where("note_key >= 5").write.mode("append").parquet(str(folder))
+    assert [r["note_key"] for r in subs.wait(number)] == [7, 8] and subs.poll(number) == []
+    assert len(subs) == 1 and subs.unsubscribe(number) and not subs.unsubscribe(number) and len(subs) == 0
+
+
+def test_stored_stream_has_each_id_once(spark, tmp_path):
+    folder = tmp_path / "in"
+    for i in range(3):
+        spark.createDataFrame([(f"x{i}",), ("same",)], "id string").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("id string").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    live.run_once(stream, live.store(stream, str(tmp_path / "out")), "stored")
+    assert sorted(r["id"] for r in live.stored(spark, str(tmp_path / "out"), stream.schema).collect()) == ["same", "x0", "x1", "x2"]
+
+
+def test_counters_add_up(spark):
+    one, two = (spark.createDataFrame(rows, "k string, n long") for rows in ([("a", 1)], [("a", 2), ("b", 3)]))
+    assert {tuple(r) for r in counters.upsert(one, two, ["k"], ["n"]).collect()} == {("a", 3), ("b", 3)}
+
+
+def test_relay_limits(spark):
+    with pytest.raises(ValueError):
+        live.matches(notes_of(spark, []), [Filter(since=i) for i in range(17)])
