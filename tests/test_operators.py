@@ -39,7 +39,7 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "in.jsonl").write_text("\n".join(lines))
     notes, relays = events.ingest(spark, str(tmp_path / "in.jsonl"), relay="wss://r")
     assert sorted(r["content"] for r in notes.collect()) == sorted([good["content"], "two", repost["content"], "inside"])
-    assert relays.count() == 4
+    assert relays.join(notes, "id", "left_semi").count() == 4
     reject = F.when(F.col("kind") == 6, events.REJECT).otherwise(events.ACCEPT)
     again, _ = events.ingest(spark, str(tmp_path / "in.jsonl"), stored=notes.where("content = 'two'"), decision=reject)
     assert {r["content"] for r in again.collect()} == {good["content"], "inside"}
@@ -146,3 +146,27 @@ def test_counters_add_up(spark):
 def test_relay_limits(spark):
     with pytest.raises(ValueError):
         live.matches(notes_of(spark, []), [Filter(since=i) for i in range(17)])
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidewell import cli
+
+    notes = [signed(content="hello big world", created_at=i, tags=[["t", str(i)]]) for i in range(3)]
+    notes.append(signed(kind=0, created_at=9, content=json.dumps({"name": "Ann"})))
+    store = str(tmp_path / "store")
+
+    def run(*args):
+        return list(cli.run(spark, cli.parser().parse_args(["--store", store, *args])))
+
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, notes[:2])))
+    (tmp_path / "b.jsonl").write_text("\n".join(map(json.dumps, notes[1:])))
+    assert run("import", str(tmp_path / "a.jsonl"), "--relay", "wss://a") == ["2 new notes"]
+    assert run("import", str(tmp_path / "b.jsonl"), "--relay", "wss://b") == ["2 new notes"]
+    assert run("note-relays", notes[1]["id"]) == ["wss://a", "wss://b"]
+    assert [json.loads(x)["id"] for x in run("query", "--kind", "1", "--limit", "2")] == [notes[2]["id"], notes[1]["id"]]
+    assert [json.loads(x) for x in run("query", "--filter", '{"#t":["1"]}')] == [{k: notes[1][k] for k in json.loads(run("query", "--tag", "t=1")[0])}]
+    assert len(run("query", "--relay", "wss://a", "--kind", "1")) == 2
+    assert [x.split("\t")[2] for x in run("search", "world hello", "--oldest-first")] == ["hello big world"] * 3
+    assert run("profile", "a") == ["ann\t" + notes[0]["pubkey"]]
+    assert [x.split("\t")[:2] for x in run("stat")] == [["profile", "1"], ["text", "3"]]
+    assert len(run("print", "tokens")) == 9 and len(run("print", "tags")) == 3

@@ -11,7 +11,6 @@ from tidewell.schema import PROFILE_KIND
 
 #: The version of the stored tables, in a table of its own beside them.
 VERSION = 1
-TABLES = ("notes", "note_relays", "profile_last_fetch")
 
 
 def compact(notes: DataFrame, own: Sequence[str]) -> DataFrame:
@@ -31,12 +30,32 @@ def snapshot(tables: dict[str, DataFrame], path: str) -> None:
     next(iter(tables.values())).sparkSession.createDataFrame([(VERSION,)], "version int").write.parquet(f"{path}/version")
 
 
-def load(spark: SparkSession, path: str, migrations: Sequence[Callable[[dict[str, DataFrame]], dict[str, DataFrame]]] = ()) -> dict[str, DataFrame]:
+def append(tables: dict[str, DataFrame], path: str) -> None:
+    """Add rows to the tables below ``path``."""
+    for name, df in tables.items():
+        df.write.mode("append").parquet(f"{path}/{name}")
+
+
+def folder(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, of whatever store."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop, store = folder(spark, f"{path}/version")
+    return store.exists(hadoop)
+
+
+Migration = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
+
+
+def load(spark: SparkSession, path: str, migrations: Sequence[Migration] = ()) -> dict[str, DataFrame]:
     """Tables of a snapshot, led through the migrations that its version lacks."""
     version = spark.read.parquet(f"{path}/version").first()[0]
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = {s.getPath().getName() for s in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)}
-    tables = {n: spark.read.parquet(f"{path}/{n}") for n in sorted(there - {"version"})}
+    hadoop, store = folder(spark, path)
+    names = {s.getPath().getName() for s in store.listStatus(hadoop)}
+    tables = {n: spark.read.parquet(f"{path}/{n}") for n in sorted(names - {"version"})}
     for migrate in migrations[version - 1 :]:
         tables = migrate(tables)
     return tables

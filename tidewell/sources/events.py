@@ -107,10 +107,14 @@ def ingest(
     verify: bool = True,
     after: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Notes and their relays from files of event lines. The last line needs no line feed."""
+    """Notes, and (id, relay) of all events that were seen, from files of event lines.
+
+    The last line needs no line feed. Events that are stored are no notes again,
+    but they have been seen on one relay more. Write the notes once and join
+    the relays with what was written: keys belong to a table, not to a plan.
+    """
     lines = spark.read.text(path).withColumns({"_order": F.monotonically_increasing_id(), "relay": F.lit(relay)})
     events = with_reposted(parse(envelopes(lines)))
     good = deduplicated(checked(events, decision, verify), stored)
     notes = with_keys(good.drop("_order", "relay"), after)
-    named = events.where("relay IS NOT NULL").select("id", "relay").distinct()
-    return notes, named.join(notes.select("id", "note_key"), "id").select("note_key", "relay")
+    return notes, events.where("relay IS NOT NULL").select("id", "relay").distinct()
