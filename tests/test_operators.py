@@ -170,3 +170,50 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("profile", "a") == ["ann\t" + notes[0]["pubkey"]]
     assert [x.split("\t")[:2] for x in run("stat")] == [["profile", "1"], ["text", "3"]]
     assert len(run("print", "tokens")) == 9 and len(run("print", "tags")) == 3
+
+
+def test_builder_and_keys(spark):
+    from tidewell.functions import codecs
+    from tidewell.sources import builder
+
+    secret, public = builder.decode_key(SECRET.hex())
+    assert builder.decode_key(codecs.bech32_encode("nsec", SECRET)) == (secret, public)
+    with pytest.raises(ValueError):
+        builder.decode_key("abcd")
+    made = [builder.build("a", tags=[["t", "x"]], secret=SECRET), builder.build("b", pubkey="ab" * 32)]
+    rows = events.checked(builder.frame(spark, made)).collect()
+    assert [r["content"] for r in rows] == ["a"]
+
+
+def test_lines_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text(json.dumps(["EVENT", "s", signed(content="streamed")]) + "\n{bad\n")
+    parsed = events.parse(events.envelopes(live.line_stream(spark, str(tmp_path / "in"))))
+    live.run_once(parsed, live.store(parsed, str(tmp_path / "out")), "lines")
+    assert [r["content"] for r in live.stored(spark, str(tmp_path / "out"), parsed.schema).collect()] == ["streamed"]
+
+
+def test_envelopes_are_opened_once_a_key_arrives(spark):
+    outer, key, own = crypto.private_keys(SECRET)
+    told = crypto.encrypt(key, json.dumps({"created_at": 1, "kind": 1, "tags": [], "content": "inside"}).encode())
+    rows = [(1, "01" * 32, outer.hex(), 1, 1080, told, [], 0), (2, "02" * 32, outer.hex(), 1, 1, told, [], 0)]
+    notes = spark.createDataFrame(rows, "note_key long, id string, pubkey string, created_at long, kind long, content string, tags array<array<string>>, flags int")
+    assert crypto.reprocess(notes, crypto.Keys())[0].count() == 0
+    inside, marked = crypto.reprocess(notes, crypto.Keys((SECRET,)))
+    assert [(r["content"], r["pubkey"], r["sig"][:64]) for r in inside.collect()] == [("inside", own.hex(), own.hex())]
+    assert {r["note_key"]: r["flags"] for r in marked.collect()} == {1: 4, 2: 0}
+    assert crypto.reprocess(marked, crypto.Keys((SECRET,)))[0].count() == 0
+
+
+def test_derived_tables(spark):
+    rows = [(1, "a" * 64, "b" * 64, 1, 1, "see #tag", [["e", "c" * 64]]), (2, "d" * 64, "b" * 64, 2, 0, '{"name":"N"}', [])]
+    made = {n: df.count() for n, df in maintenance.derived(notes_of(spark, rows)).items()}
+    assert made == {"tags": 1, "profiles": 1, "profile_names": 1, "tokens": 2, "blocks": 2, "note_counts": 1, "note_reactions": 0, "zaps": 0}
+    bare = maintenance.derived(notes_of(spark, rows), maintenance.Options(True, True, True))
+    assert sorted(bare) == ["profile_names", "profiles", "tags"]
+
+
+def test_replaceable_kinds(spark):
+    made = [(0, "p", 1, []), (0, "p", 2, []), (30023, "p", 1, [["d", "x"]]), (30023, "p", 2, [["d", "y"]]), (30023, "p", 3, [["d", "x"]]), (1, "p", 1, [])]
+    rows = [(i, str(i), p, at, k, "", t) for i, (k, p, at, t) in enumerate(made)]
+    assert sorted(r["note_key"] for r in tables.latest_versions(notes_of(spark, rows)).collect()) == [1, 3, 4, 5]

@@ -3,16 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators import counters, search, tables
 from tidewell.schema import PROFILE_KIND
 
 #: The version of the stored tables, in a table of its own beside them.
 VERSION = 1
 
 
+@dataclass(frozen=True)
+class Options:
+    """What isn't derived at a write."""
+
+    skip_fulltext: bool = False
+    skip_blocks: bool = False
+    skip_counters: bool = False
+
+
+def derived(notes: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
+    """The tables that are derived from a batch of new notes, to be appended with it.
+
+    Counters of batches add up (:func:`tidewell.operators.counters.upsert`).
+    """
+    o = options or Options()
+    out = {"tags": tables.tag_rows(notes), "profiles": tables.profiles(notes), "profile_names": search.names(notes)}
+    if not o.skip_fulltext:
+        out["tokens"] = search.tokens(notes)
+    if not o.skip_blocks:
+        out["blocks"] = tables.block_rows(notes)
+    if not o.skip_counters:
+        out |= {"note_counts": counters.counts(notes), "note_reactions": counters.reactions(notes), "zaps": counters.zap_rows(notes)}
+    return out
+
+
 def compact(notes: DataFrame, own: Sequence[str]) -> DataFrame:
     """All profiles and the notes of one's own pubkeys, with fresh keys in the old order.
 
@@ -23,16 +50,16 @@ def compact(notes: DataFrame, own: Sequence[str]) -> DataFrame:
     return keep.sort("note_key").withColumn("note_key", F.monotonically_increasing_id() + 1)
 
 
-def snapshot(tables: dict[str, DataFrame], path: str) -> None:
+def snapshot(held: dict[str, DataFrame], path: str) -> None:
     """Write the tables and their version below ``path``."""
-    for name, df in tables.items():
+    for name, df in held.items():
         df.write.mode("errorifexists").parquet(f"{path}/{name}")
-    next(iter(tables.values())).sparkSession.createDataFrame([(VERSION,)], "version int").write.parquet(f"{path}/version")
+    next(iter(held.values())).sparkSession.createDataFrame([(VERSION,)], "version int").write.parquet(f"{path}/version")
 
 
-def append(tables: dict[str, DataFrame], path: str) -> None:
+def append(held: dict[str, DataFrame], path: str) -> None:
     """Add rows to the tables below ``path``."""
-    for name, df in tables.items():
+    for name, df in held.items():
         df.write.mode("append").parquet(f"{path}/{name}")
 
 
@@ -55,7 +82,7 @@ def load(spark: SparkSession, path: str, migrations: Sequence[Migration] = ()) -
     version = spark.read.parquet(f"{path}/version").first()[0]
     hadoop, store = folder(spark, path)
     names = {s.getPath().getName() for s in store.listStatus(hadoop)}
-    tables = {n: spark.read.parquet(f"{path}/{n}") for n in sorted(names - {"version"})}
+    held = {n: spark.read.parquet(f"{path}/{n}") for n in sorted(names - {"version"})}
     for migrate in migrations[version - 1 :]:
-        tables = migrate(tables)
-    return tables
+        held = migrate(held)
+    return held

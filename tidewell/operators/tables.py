@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.functions import text
-from tidewell.schema import KIND_NAMES, PROFILE, PROFILE_KIND, is_id
+from tidewell.functions import tags, text
+from tidewell.schema import KIND_NAMES, PROFILE, PROFILE_KIND, TEXT_KINDS, is_id, is_replaceable
 
 
 def tag_rows(notes: DataFrame) -> DataFrame:
@@ -105,6 +105,37 @@ def relays_per_note(relays: DataFrame) -> DataFrame:
     return relays.groupBy("note_key").agg(F.count_distinct("relay").alias("n_relays"))
 
 
+def latest_versions(notes: DataFrame) -> DataFrame:
+    """Notes without versions that a later note replaces: of replaceable kinds the newest of each author and kind.
+
+    Kinds from 30000 on are told apart by the value of their d tag, too. The table itself keeps all versions.
+    """
+    kind = F.col("kind")
+    named = F.when(kind >= 30_000, F.coalesce(tags.first_value(F.col("tags"), "d"), F.lit(""))).otherwise(F.lit(""))
+    key = F.when(is_replaceable(kind), F.struct("pubkey", "kind", named.alias("d")))
+    keyed = notes.withColumn("_key", key)
+    newest = F.max_by(F.struct(*notes.columns), F.struct("created_at", "note_key")).alias("_row")
+    replaced = keyed.where("_key IS NOT NULL").groupBy("_key").agg(newest).select("_row.*")
+    return keyed.where("_key IS NULL").drop("_key").unionByName(replaced)
+
+
+def promote(stored: DataFrame, rumors: DataFrame) -> DataFrame:
+    """Stored notes, those that came in an envelope since with its signature field and flags. Keys stay."""
+    fresh = rumors.groupBy("id").agg(F.min(F.struct("sig", "flags")).alias("_r"))
+    out = stored.join(fresh, "id", "left")
+    return out.withColumns(
+        {"sig": F.coalesce("_r.sig", "sig"), "flags": F.coalesce(F.col("flags").bitwiseOR(F.col("_r.flags")), F.col("flags"))}
+    ).select(stored.columns)
+
+
+def block_rows(notes: DataFrame, any_kind: bool = False) -> DataFrame:
+    """note_key, idx and the fields of each block of the contents."""
+    from tidewell.functions import content
+
+    rows = notes if any_kind else notes.where(F.col("kind").isin(*TEXT_KINDS))
+    return rows.select("note_key", F.posexplode(content.blocks(F.col("content"))).alias("idx", "b")).select("note_key", "idx", "b.*")
+
+
 def add_relays(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Rows of ``fresh`` that aren't stored yet."""
     return fresh.select("note_key", "relay").distinct().join(stored, ["note_key", "relay"], "left_anti")
@@ -121,11 +152,11 @@ def kind_name(kind: str = "kind") -> Column:
 
 def kind_statistics(notes: DataFrame) -> DataFrame:
     """kind_name, count, key_bytes, value_bytes: of a note's key, and of its content and tags."""
-    tags = F.aggregate(F.flatten("tags"), F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s))
+    size = F.aggregate(F.flatten("tags"), F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s))
     return notes.groupBy(kind_name().alias("kind_name")).agg(
         F.count(F.lit(1)).alias("count"),
         (F.count(F.lit(1)) * 8).alias("key_bytes"),
-        F.sum(F.octet_length("content") + tags).alias("value_bytes"),
+        F.sum(F.octet_length("content") + size).alias("value_bytes"),
     )
 
 

@@ -282,6 +282,28 @@ def relays_per_note(n: DataFrame) -> DataFrame:
     return tables.relays_per_note(adapt.relays(n))
 
 
+@on_notes(
+    "latest_versions",
+    f"""SELECT note_key FROM notes WHERE kind <> 0 UNION ALL
+        (SELECT note_key FROM notes WHERE kind = 0 QUALIFY row_number() OVER (PARTITION BY pubkey {NEWEST}) = 1)""",
+)
+def latest_versions(n: DataFrame) -> DataFrame:
+    return tables.latest_versions(n).select("note_key")
+
+
+@on_notes("promote_rumors", "SELECT note_key, CASE WHEN note_key % 4 = 0 THEN 2 ELSE 0 END AS flags FROM notes")
+def promote_rumors(n: DataFrame) -> DataFrame:
+    stored = n.withColumns({"sig": F.lit("s"), "flags": F.lit(0)})
+    rumors = stored.where("note_key % 4 = 0").select("id", F.lit("r").alias("sig"), F.lit(2).alias("flags"))
+    return tables.promote(stored, rumors.union(rumors)).select("note_key", "flags")
+
+
+@on_notes("ingest_unknown", "SELECT id, created_at FROM notes WHERE note_key % 3 <> 0")
+def ingest_unknown(n: DataFrame) -> DataFrame:
+    told = tables.to_json(n.withColumn("sig", F.lit("0" * 128))).select(F.col("json").alias("value"))
+    return events.parse(events.unknown(events.envelopes(told), n.where("note_key % 3 = 0"))).select("id", "created_at")
+
+
 @on_notes("relay_insert", "SELECT note_key, relay FROM relays WHERE note_key % 2 = 1", WITH_RELAYS)
 def relay_insert(n: DataFrame) -> DataFrame:
     relays = adapt.relays(n)
@@ -528,6 +550,12 @@ def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.posexplode(blocks).alias("idx", "b")).select("page_id", "idx", "b.type", "b.text", "b.start", "b.len")
 
 
+@on_documents("document_blocks", "SELECT note_key, 'text' AS type, content AS text FROM notes WHERE content <> '' AND NOT regexp_matches(content, '#|https?:|lnbc')")
+def document_blocks(n: DataFrame) -> DataFrame:
+    plain = n.where(~F.col("content").rlike("#|https?:|lnbc"))
+    return tables.block_rows(plain).select("note_key", "type", "text")
+
+
 @registered("bech32_decode")
 def bech32_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [(codecs.bech32_encode("npub", bytes.fromhex(pubkey(n))),) for n in range(20)]

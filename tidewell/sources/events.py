@@ -51,6 +51,18 @@ def parse(found: DataFrame) -> DataFrame:
     return out.where(whole & fits & shaped).withColumns({c: F.lower(c) for c in ("id", "pubkey", "sig")})
 
 
+def unknown(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Envelopes whose event's id isn't stored. Only the id is read, so that known events are never parsed."""
+    rows = found.withColumn("_id", F.lower(F.get_json_object("event", "$.id")))
+    return rows.join(stored.select(F.col("id").alias("_id")), "_id", "left_anti").drop("_id")
+
+
+def seen(found: DataFrame) -> DataFrame:
+    """(id, relay) of envelopes, known events among them."""
+    rows = found.where("command = 'EVENT' AND relay IS NOT NULL")
+    return rows.select(F.lower(F.get_json_object("event", "$.id")).alias("id"), "relay").where("id IS NOT NULL").distinct()
+
+
 def with_reposted(events: DataFrame) -> DataFrame:
     """Events, and those that kind-6 events hold as their content."""
     inner = events.where(F.col("kind") == REPOST_KIND).select(
