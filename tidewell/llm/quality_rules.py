@@ -25,9 +25,9 @@ from tidewell.llm.common import BLANK_CLASS, BLANKS, let, materialise
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A document is kept from this posterior on.
 KEEP = 0.5
-#: Before any document is seen: shares of the votes -1, 0 and 1 on good and on bad documents, the
-#: share of good documents, and the number of documents that these beliefs weigh as much as.
-PRIOR_VOTE_GOOD, PRIOR_VOTE_BAD = (0.002, 0.198, 0.8), (0.3, 0.2, 0.5)
+#: Before any document is seen: the share of votes against among a rule's votes on good and on bad documents,
+#: the share of good documents, and the number of documents that these beliefs weigh as much as.
+PRIOR_AGAINST_GOOD, PRIOR_AGAINST_BAD = 0.002, 0.4
 PRIOR_GOOD, PRIOR_VOTES = 0.8, 50.0
 #: Rules are written to vote against few good documents. The estimate of how many is held to this
 #: share, else the more numerous kind of bad documents would pass for the good ones.
@@ -47,7 +47,7 @@ class Voter(NamedTuple):
 
 VOTERS = [
     Voter("symbols", "n_symbols", "n_words", 0.02, 0.1),
-    Voter("repeats", "n_repeat_words", "n_words", 0.2, 0.4),
+    Voter("repeats", "n_repeat_words", "n_words", 0.2, 0.5),
     Voter("lines", "n_dup_lines", "n_lines", 0.05, 0.6),
     Voter("capitals", "n_capitals", "word_chars", 0.15, 0.4),
     Voter("shouts", "n_shouts", "n_words", 0.01, 0.1),
@@ -109,55 +109,48 @@ def vote(voter: Voter, of: str) -> Column:
 
 
 class Model(NamedTuple):
-    """Log odds of a good document before any vote, and for each rule what its votes -1, 0 and 1 add."""
+    """Log odds of a good document before any vote, and for each rule what a vote against and a vote for add."""
 
     prior: float
-    weights: list[tuple[float, float, float]]
+    weights: list[tuple[float, float]]
 
     def posterior(self, votes: list[Column]) -> Column:
         odds = F.lit(self.prior)
-        for v, (against, none, by) in zip(votes, self.weights, strict=True):
-            odds = odds + F.when(v < 0, against).when(v > 0, by).otherwise(none)
+        for v, (against, by) in zip(votes, self.weights, strict=True):
+            odds = odds + F.when(v < 0, against).when(v > 0, by).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
-def anchored(votes: list[float]) -> list[float]:
-    """A rule's votes on good documents, no more than MOST_WRONG of them against."""
-    against = min(votes[0], MOST_WRONG)
-    rest = (1 - against) / (votes[1] + votes[2])
-    return [against, votes[1] * rest, votes[2] * rest]
-
-
 def fit(patterns: list[tuple[tuple[int, ...], int]], n_voters: int) -> Model:
     """Expectation-maximisation over (votes, number of documents).
 
-    A rule's accuracy is how often it votes which way on good and on bad
-    documents; a vote against is rarely cast on a good one, while a vote for
-    says little where most rules find nothing amiss.
+    A rule's accuracy is how many of its votes on good documents, and how many on
+    bad ones, are against. A vote against is rarely cast on a good one, while a
+    vote for says little where most rules find nothing amiss. A rule that
+    abstains says nothing.
     """
-    share = {True: [PRIOR_VOTE_GOOD] * n_voters, False: [PRIOR_VOTE_BAD] * n_voters}
+    against = {True: [PRIOR_AGAINST_GOOD] * n_voters, False: [PRIOR_AGAINST_BAD] * n_voters}
     model = Model(0.0, [])
     good = PRIOR_GOOD
     for _ in range(ROUNDS):
         weights = [
-            tuple(math.log(g / b) for g, b in zip(of_good, of_bad, strict=True))
-            for of_good, of_bad in zip(share[True], share[False], strict=True)
+            (math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in zip(against[True], against[False], strict=True)
         ]
         model = Model(math.log(good / (1 - good)), weights)
-        seen = {
-            c: [[p * PRIOR_VOTES for p in prior] for _ in range(n_voters)]
-            for c, prior in ((True, PRIOR_VOTE_GOOD), (False, PRIOR_VOTE_BAD))
-        }
+        hits = {True: [PRIOR_AGAINST_GOOD * PRIOR_VOTES] * n_voters, False: [PRIOR_AGAINST_BAD * PRIOR_VOTES] * n_voters}
+        cast = {c: [PRIOR_VOTES] * n_voters for c in hits}
         docs = {True: PRIOR_GOOD * PRIOR_VOTES, False: (1 - PRIOR_GOOD) * PRIOR_VOTES}
         for votes, n in patterns:
-            odds = model.prior + sum(w[v + 1] for v, w in zip(votes, weights, strict=True))
+            odds = model.prior + sum(w[v > 0] for v, w in zip(votes, weights, strict=True) if v)
             p = 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
             for c, mass in ((True, n * p), (False, n * (1 - p))):
                 docs[c] += mass
                 for r, v in enumerate(votes):
-                    seen[c][r][v + 1] += mass
-        share = {c: [[x / sum(row) for x in row] for row in rows] for c, rows in seen.items()}
-        share[True] = [anchored(x) for x in share[True]]
+                    if v:
+                        cast[c][r] += mass
+                        hits[c][r] += mass * (v < 0)
+        against = {c: [h / n for h, n in zip(hits[c], cast[c], strict=True)] for c in hits}
+        against[True] = [min(x, MOST_WRONG) for x in against[True]]
         good = docs[True] / (docs[True] + docs[False])
     return model
 
