@@ -161,7 +161,7 @@ def limit_zero(n: DataFrame) -> DataFrame:
     return query(n, Filter(kinds=[6], limit=0)).select(ROW)
 
 
-@on_notes("fold_count", "SELECT count(*) AS n, sum(msats) AS msats, max(created_at) AS newest FROM notes WHERE kind = 9735")
+@on_notes("fold_count", "SELECT count(*) AS n, sum(msats)::BIGINT AS msats, max(created_at) AS newest FROM notes WHERE kind = 9735")
 def fold_count(n: DataFrame) -> DataFrame:
     return fold(n, Filter(kinds=[9735]), F.count(F.lit(1)).alias("n"), F.sum("msats").alias("msats"), F.max("created_at").alias("newest"))
 
