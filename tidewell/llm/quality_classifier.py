@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_slices, materialise
 
-#: Labelled rows that the trees are fitted on, at most; the first of a hash order.
+#: Labelled rows that the trees are fitted on: all, or about so many, chosen by their hash.
 SAMPLE = 20_000
 TREES, DEPTH, BINS = 60, 4, 64
 RATE, SHRINK, LEAST_ROWS = 0.15, 1.0, 10
@@ -167,13 +167,15 @@ def held_out(doc_id: str) -> Column:
 
 
 def learn(counts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
-    """Trees from the labelled rows that aren't held out, ``sample`` at most."""
+    """Trees from the labelled rows that aren't held out: all, or about ``sample`` that their hashes choose."""
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), "quality")
     known = known.where(~held_out("_id")).dropDuplicates(["_id"])
     rows = counts.join(known, counts["doc_id"] == known["_id"])
-    rows = rows.select("x", "quality", F.xxhash64("doc_id").alias("o"), "doc_id").orderBy("o", "doc_id").limit(sample)
-    found = rows.select("x", "quality").collect()
-    x = np.array([r[0] for r in found]).reshape(-1, len(NAMES))
+    # The share to take is fixed before rows are sent, so that no task sends more than its share.
+    share = min(1.0, sample / max(1, known.count()))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    found = sorted(map(tuple, rows.where(chosen).select("doc_id", "quality", "x").collect()))
+    x = np.array([r[2] for r in found]).reshape(-1, len(NAMES))
     return fit(x, np.array([r[1] for r in found], dtype=np.float64))
 
 
