@@ -25,9 +25,9 @@ from tidewell.llm.common import map_slices
 MARK = "▁"
 #: A run of spaces with the word after it, for texts with more than single spaces.
 RUNS = re.compile(r" +[^ ]*|[^ ]+")
-#: Rows that the table of frequent pre-tokens is taken from. The table changes
-#: speed only: whatever it lacks is encoded by the workers.
-TABLE_ROWS = 2000
+#: Texts, and their length, that the table of frequent pre-tokens is taken from. The table
+#: changes speed only: whatever it lacks is encoded by the workers.
+TABLE_ROWS, TABLE_CHARS = 2000, 10_000
 TABLE_SIZE = 65536
 #: Entries of a worker's cache; a full cache starts anew.
 CACHE_SIZE = 400_000
@@ -152,11 +152,11 @@ class TokenCounter:
 def frequent(docs: DataFrame, path: str, rows: int = TABLE_ROWS, size: int = TABLE_SIZE) -> tuple[str, bytes]:
     """The compact table: pre-tokens in one string, their lengths in one array.
 
-    Taken from at most ``rows`` texts of a hash order; bounded by ``size`` entries.
+    Taken from the first ``rows`` texts; bounded by ``size`` entries.
     """
-    texts = docs.where(F.length("text").between(1, 20_000)).select("text").limit(rows)
     counts: Counter[str] = Counter()
-    for (text,) in texts.toLocalIterator():
+    # take() reads as many partitions as it needs, where a limit would read all of them.
+    for (text,) in docs.where(F.length("text").between(1, TABLE_CHARS)).select("text").take(rows):
         if MARK not in text and "\0" not in text:
             for line in text.split("\n"):
                 counts.update(pretokens(line))
