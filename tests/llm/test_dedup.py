@@ -119,9 +119,35 @@ def test_no_link_is_lost(spark, seed):
         for d in (0, 1, 2, 3, 4, 4, 4, 5, 5, 6):
             fps.add(centre ^ sum(1 << b for b in r.sample(range(64), d)))
     signed = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
-    pairs = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
-    wanted = {(a, b) for a in signed for b in signed if a > b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
-    assert len(pairs) == len(wanted) and {(p["a"], p["b"]) for p in pairs} == wanted
+    counted = spark.createDataFrame([(f, r.randint(1, 3)) for f in signed], "fp long, n long")
+    pairs = [tuple(p) for p in simhash.links(counted).collect()]
+    distance = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    assert len(set(pairs)) == len(pairs) and all(a > b and distance(a, b) <= 4 for a, b in pairs)
+    assert joined(signed, pairs) == joined(signed, [(a, b) for a in signed for b in signed if a > b and distance(a, b) <= 4])
+
+
+def joined(nodes: list[int], pairs: list[tuple[int, int]]) -> dict[int, int]:
+    least = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    return least
+
+
+def test_a_group_of_copies_gives_a_star(spark):
+    """300 fingerprints within two bits of the most frequent one: links to it, not all 44,850 pairs."""
+    r = random.Random(9)
+    centre = r.getrandbits(63)
+    fps = {centre}
+    while len(fps) < 300:
+        fps.add(centre ^ 1 << r.randrange(63) ^ 1 << r.randrange(63))
+    counted = spark.createDataFrame([(f, 9 if f == centre else 1) for f in fps], "fp long, n long")
+    pairs = [tuple(p) for p in simhash.links(counted).collect()]
+    assert len(set(joined(sorted(fps), pairs).values())) == 1 and len(pairs) < 10 * len(fps)
 
 
 def test_components_of_chains(spark):

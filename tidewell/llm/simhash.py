@@ -72,32 +72,57 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def variants(nodes: DataFrame) -> DataFrame:
-    """fp and its 64 keys: bit ``p`` left out of the segment that holds it."""
+    """fp, n and its 64 keys: bit ``p`` left out of the segment that holds it."""
     segment = "CASE " + " ".join(
         f"WHEN p < {first + width} THEN shiftrightunsigned(fp, {first}) & {(1 << width) - 1}L & ~shiftleft(1L, p - {first})"
         for first, width in SEGMENTS
     )
-    exploded = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
-    return exploded.select("fp", "p", F.expr(f"shiftleft(cast(p AS long), 22) | ({segment} END)").alias("key"))
+    exploded = nodes.select("fp", "n", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    return exploded.select("fp", "n", "p", F.expr(f"shiftleft(cast(p AS long), 22) | ({segment} END)").alias("key"))
+
+
+def lowest_shared() -> str:
+    """Of the variants that fingerprints a and b share, the lowest: at the bit that a segment
+    differs in, or at its first bit if it is equal."""
+    masks = [((1 << width) - 1) << first for first, width in SEGMENTS]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return (
+        "CASE "
+        + " ".join(
+            f"WHEN bit_count((a ^ b) & {m}L) = 0 THEN {first} WHEN bit_count((a ^ b) & {m}L) = 1 THEN bit_count(((a ^ b) & {m}L) - 1)"
+            for m, (first, _) in zip(signed, SEGMENTS, strict=True)
+        )
+        + " END"
+    )
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Pairs a > b of different fingerprints that link, each once.
+    """Links a, b between different fingerprints that join what all links would join.
 
-    A pair may share many variants; it is answered at the lowest alone: at the
-    bit it differs in, or at the segment's first bit if the segment is equal.
+    ``nodes`` has fp and n, its number of documents. The fingerprints that share a
+    variant form a bucket, and its most frequent one is the bucket's centre.
+    Those that link to the centre are joined through it, so a group of copies
+    gives a star and not all its pairs. Only what doesn't link to the centre is
+    compared with the rest of its bucket, at the lowest variant that a pair shares.
     """
     keys = variants(nodes)
-    a = keys.select(F.col("fp").alias("a"), "key", "p")
-    b = keys.select(F.col("fp").alias("b"), F.col("key").alias("key_b"))
-    masks = [((1 << width) - 1) << first for first, width in SEGMENTS]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    lowest = "CASE " + " ".join(
-        f"WHEN bit_count((a ^ b) & {m}L) = 0 THEN {first} WHEN bit_count((a ^ b) & {m}L) = 1 THEN bit_count(((a ^ b) & {m}L) - 1)"
-        for m, (first, _) in zip(signed, SEGMENTS, strict=True)
+    centre = F.max_by("fp", F.struct("n", "fp")).alias("centre")
+    shared = keys.groupBy("key").agg(centre, F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = materialise(shared.withColumnRenamed("key", "_key"), "buckets")
+    # Each row of the index is told its bucket's centre; those alone in their bucket have none and go.
+    told = keys.join(shared, keys["key"] == shared["_key"], "left")
+    crowded = F.coalesce("members", F.col("p") - 64) > 1
+    members = materialise(told.where(crowded).select("fp", "p", "key", "centre"), "members")
+    near = F.expr(f"bit_count(fp ^ centre) <= {NEAR}")
+    stars = members.where(near & (F.col("fp") != F.col("centre"))).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+    far = members.where(~near).select(F.col("fp").alias("a"), "key", "p")
+    rest = members.select(F.col("fp").alias("b"), F.col("key").alias("key_b"), near.alias("near_b"))
+    # Two that are both far meet once, by their order.
+    on = (F.col("key") == F.col("key_b")) & F.expr(
+        f"a != b AND (near_b OR a > b) AND bit_count(a ^ b) <= {NEAR} AND p = {lowest_shared()}"
     )
-    on = (F.col("key") == F.col("key_b")) & F.expr(f"a > b AND bit_count(a ^ b) <= {NEAR} AND p = {lowest} END")
-    return a.join(b, on).select("a", "b")
+    both = stars.union(far.join(rest, on).select("a", "b"))
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -140,8 +165,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links reach, its own included.
     """
     held = materialise(fingerprints(docs), "fingerprints")
-    nodes = materialise(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    rooted = components(links(nodes.select("fp")))
+    nodes = materialise(held.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    rooted = components(links(nodes.select("fp", "n")))
     joined = nodes.join(rooted, nodes["fp"] == rooted["node"], "left")
     joined = joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
