@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tests.oracle import SF, assert_same
+from tidewell.functions import codecs
 from tidewell.queries import ORACLE_SQL, QUERIES
 
 
@@ -23,3 +24,26 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 100
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_blocks_of_all_documents(spark, tmp_path):
+    """Documents put together from known blocks, those that the SQL of ``document_blocks`` leaves out among them."""
+    npub = codecs.bech32_encode("npub", bytes(range(32)))
+    told = [
+        [("text", "plain words")],
+        [("text", "see "), ("url", "https://a.example/p?q=1"), ("text", " and "), ("hashtag", "tag"), ("text", " end")],
+        [("mention_index", "#[3]"), ("text", " by "), ("mention_bech32", npub)],
+        [("text", "pay "), ("text", "lnbcxx"), ("text", " ## #")],
+        [("hashtag", "été"), ("text", "\n"), ("url", "HTTP://b.example")],
+    ]
+    rows, wanted = [(90, "", "s"), (91, None, "s")], []
+    for i, blocks in enumerate(told):
+        content = ""
+        for idx, (kind, value) in enumerate(blocks):
+            content += "#" * (kind == "hashtag")
+            wanted.append((i, idx, kind, value, len(content), len(value)))
+            content += value
+        rows.append((i, content, "s"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["document_blocks_all"](spark, str(tmp_path)).collect())) == wanted
+    assert {r[0] for r in QUERIES["document_blocks"](spark, str(tmp_path)).collect()} == {0}

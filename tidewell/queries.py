@@ -556,6 +556,12 @@ def document_blocks(n: DataFrame) -> DataFrame:
     return tables.block_rows(plain).select("note_key", "type", "text")
 
 
+@on_documents("document_blocks_all")
+def document_blocks_all(n: DataFrame) -> DataFrame:
+    """The blocks of all documents. ``document_blocks`` is the part of them that its SQL can express."""
+    return tables.block_rows(n).select("note_key", "idx", "type", "text", "start", "len")
+
+
 @registered("bech32_decode")
 def bech32_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = [(codecs.bech32_encode("npub", bytes.fromhex(pubkey(n))),) for n in range(20)]
