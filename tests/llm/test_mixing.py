@@ -107,3 +107,25 @@ def test_pipeline(spark):
         got[r["doc_id"]] += r["length"]
     assert got == Counter(wanted)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash", "mixing", "packing"]
+
+
+def test_pipeline_packs_in_the_order_of_the_mix(spark, monkeypatch):
+    import corpus_pipeline
+
+    found = []
+    for weights in ({"src0": 99, "*": 1}, {"src0": 1, "*": 99}):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+        found.append(corpus_pipeline.run(spark, SF).collect())
+    contents = [Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows) for rows in found]
+    assert contents[0] == contents[1]
+    of = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").collect()}
+    means = []
+    for rows in found:
+        longest = {}
+        for r in sorted(rows, key=lambda r: r["length"]):
+            longest[r["sequence_id"]] = r["doc_id"]
+        assert sorted(longest) == list(range(len(longest)))
+        at = [s for s, d in longest.items() if of[d] == "src0"]
+        means.append(sum(at) / len(at) / len(longest))
+    assert means[0] < means[1]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,5 +89,25 @@ def test_pack(spark, library, capacity):
     assert len(by_doc[last]) == 2 * len({r["piece"] for r in by_doc[last]}) and len(by_doc[None]) >= 1
 
 
+def test_the_order_of_the_input_takes_effect(spark, tmp_path):
+    """Pieces of a length, and sequences, follow the rows as they were written, also where file sizes would turn them round."""
+    words = ["a b c d", "e f g h " * 3, "i j k l " * 5]
+    rows = [(i, words[i * 7 % 3].strip()) for i in range(300)]
+    r = random.Random(1)
+    for given in (rows, rows[::-1], r.sample(rows, len(rows))):
+        folder = f"{tmp_path}/{given[0][0]}"
+        docs = spark.createDataFrame([(n, *row, "x" * n * n) for n, row in enumerate(given)], "n int, doc_id long, text string, more string")
+        docs.repartitionByRange(5, "n").sortWithinPartitions("n").write.parquet(folder)
+        found = packing.pack(spark.read.parquet(folder), PATH, 21).collect()
+        place = {i: n for n, (i, _) in enumerate(given)}
+        by_length, longest = defaultdict(list), {}
+        for x in sorted(found, key=lambda x: (-x["length"], place[x["doc_id"]])):
+            by_length[x["length"]].append((x["sequence_id"], x["offset"]))
+            longest.setdefault(x["sequence_id"], place[x["doc_id"]])
+        assert len(found) == len(rows) and sorted(longest) == list(range(len(longest)))
+        assert all(v == sorted(v) for k, v in by_length.items() if k == max(by_length))
+        assert [longest[s] for s in sorted(longest)] == sorted(longest.values())
+
+
 def test_empty(spark):
     assert packing.pack(empty(spark), PATH).collect() == []

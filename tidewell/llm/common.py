@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 from tidewell.functions.binding import let
 from tidewell.storage import materialise
 
-__all__ = ["let", "map_slices", "materialise", "ranked", "shuffle_partitions"]
+__all__ = ["in_order", "let", "map_slices", "materialise", "positions", "ranked", "shuffle_partitions"]
 
 #: White space as the operators' contracts define it: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -51,19 +52,45 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, key: str, ident: list[str], rank: str) -> DataFrame:
+#: The rows of a partition stand in the lower bits of what ``monotonically_increasing_id`` gives.
+ROW_BITS = 33
+
+
+def in_order(df: DataFrame, file: str, row: str) -> DataFrame:
+    """``df`` with two columns by which its rows sort as they were written: the path of the Parquet file and the row in it.
+
+    Spark reads files in the order of their sizes, but it names them by partition. Of a table that is
+    not read from Parquet files, the order is that of its partitions and the path is empty.
+    """
+    meta = {file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")}
+    try:
+        found = df.withColumns(meta)
+        found.schema  # noqa: B018
+        return found
+    except AnalysisException:
+        return df.withColumns({file: F.lit(""), row: F.monotonically_increasing_id()})
+
+
+def positions(df: DataFrame, order: list[str], at: str) -> DataFrame:
+    """``df`` with a number that rises along ``order``, for ``ranked``. Materialise it: a second run may number anew."""
+    dealt = df.repartitionByRange(4 * shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return dealt.withColumn(at, F.monotonically_increasing_id())
+
+
+def ranked(df: DataFrame, key: str, ident: list[str], rank: str, at: str | None = None) -> DataFrame:
     """Number the rows of each key from 0, in column ``rank``, in an order that
-    depends on the ids alone.
+    depends on the ids alone, or along the ``positions`` in column ``at``.
 
-    No task gets the whole of a key: its rows are dealt by a hash of ``ident``
-    into buckets, numbered inside their bucket and moved up by the rows of the
-    buckets before. A key has four buckets for each shuffle partition, so a key
-    with a third of all rows spreads over all tasks, and the table of bucket
-    sizes has a bounded number of rows a key.
+    No task gets the whole of a key: its rows are dealt by a hash of ``ident``, or by
+    the range that their position lies in, into buckets, numbered inside their bucket and
+    moved up by the rows of the buckets before. A key has four buckets for each shuffle
+    partition, so a key with a third of all rows spreads over all tasks, and the table of
+    bucket sizes has a bounded number of rows a key.
     """
     buckets = 4 * shuffle_partitions(df.sparkSession)
-    mixed = df.withColumn("_mix", F.xxhash64(*ident))
-    mixed = mixed.withColumn("_bucket", F.pmod("_mix", F.lit(buckets)).cast("int"))
+    mixed = df.withColumn("_mix", F.xxhash64(*ident) if at is None else F.col(at))
+    bucket = F.pmod("_mix", F.lit(buckets)) if at is None else F.shiftright("_mix", ROW_BITS)
+    mixed = mixed.withColumn("_bucket", bucket.cast("int"))
     inside = Window.partitionBy(key, "_bucket").orderBy("_mix", *ident)
     numbered = mixed.withColumn("_inside", F.row_number().over(inside) - 1)
     sizes = mixed.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_size"))

@@ -8,6 +8,11 @@ the histogram holds it. The plan is a list of such combinations. A piece finds
 its place in it by its rank among the pieces of its length, so no task ever
 sees more than its own rows.
 
+The order of the documents takes effect: the pieces of a length are ranked as
+their documents stand in the input, and sequences are numbered as the documents
+of their longest pieces stand in it. Both are kept from the files that the
+input was written to, or else from its partitions.
+
 Null and empty texts become a piece with the end id alone. Repeated rows are
 packed each. An empty table gives no rows.
 """
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_slices, materialise, ranked
+from tidewell.llm.common import in_order, map_slices, materialise, positions, ranked
 
 #: A text of nothing but these can be lower-cased and cut by the standard library's
 #: expressions just as the tokenizer does it: ASCII without most controls, and
@@ -89,10 +94,13 @@ SCHEMA = pa.schema(
     ]
 )
 DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Where a piece's document stands in the input.
+PLACED = pa.schema([*SCHEMA, ("_file", pa.string()), ("_row", pa.int64())])
+PLACED_DDL = DDL + ", _file string, _row long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Tokenize, end each document with ``end_id`` and cut what is longer than ``capacity``."""
+    """Tokenize, end each document with ``end_id`` and cut what is longer than ``capacity``. Keeps the place of the document."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def make():
@@ -101,19 +109,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
         encode = _ENCODERS[path].encode
 
         def apply(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {n: [] for n in SCHEMA.names}
-            for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
+            out: dict[str, list] = {n: [] for n in PLACED.names}
+            for doc_id, text, file, at_row in zip(*(rows[n] for n in ("doc_id", "text", "_file", "_row")), strict=True):
                 ids = encode(text or "") + end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    row = (doc_id, i, at // 4, len(part) // 4, zlib.crc32(part))
-                    for n, v in zip(SCHEMA.names, row, strict=True):
+                    row = (doc_id, i, at // 4, len(part) // 4, zlib.crc32(part), file, at_row)
+                    for n, v in zip(PLACED.names, row, strict=True):
                         out[n].append(v)
             return out
 
         return apply
 
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), make, SCHEMA, DDL)
+    placed = in_order(docs, "_file", "_row").select(F.col("doc_id").cast("long"), "text", "_file", "_row")
+    return map_slices(placed, make, PLACED, PLACED_DDL)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -189,7 +198,8 @@ def places(combinations: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
 
 
-OUT = pa.schema([*SCHEMA, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+BINNED = pa.schema([*SCHEMA, ("_position", pa.int64()), ("_bin", pa.int64()), ("offset", pa.int64())])
+BINNED_DDL = DDL + ", _position long, _bin long, offset long"
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -198,6 +208,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> D
     The pieces of a sequence lie behind one another from offset 0 without gaps.
     """
     cut = materialise(pieces(docs, path, capacity, end_id), "pieces")
+    # Numbered once and stored, so that every later step sees the same positions.
+    cut = materialise(positions(cut, ["_file", "_row", "piece"], "_position").drop("_file", "_row"), "positions")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     table = docs.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
 
@@ -209,12 +221,19 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> D
             at = np.searchsorted(keys, length * RANKS + np.array(rows["rank"], dtype=np.int64), side="right") - 1
             nth = length * RANKS + np.array(rows.pop("rank"), dtype=np.int64) - keys[at]
             return rows | {
-                "sequence_id": bins[at] + nth // uses[at],
+                "_bin": bins[at] + nth // uses[at],
                 "offset": offsets[at] + nth % uses[at] * length,
             }
 
         return apply
 
-    return map_slices(
-        ranked(cut, "length", ["doc_id", "piece"], "rank"), make, OUT, DDL + ", sequence_id long, offset long"
-    )
+    binned = map_slices(ranked(cut, "length", ["doc_id", "piece"], "rank", "_position"), make, BINNED, BINNED_DDL)
+    return numbered(materialise(binned, "bins"))
+
+
+def numbered(binned: DataFrame) -> DataFrame:
+    """The pieces of bins with ``sequence_id``, which rises along the positions of the bins' longest pieces."""
+    longest = F.min(F.struct((-F.col("length")).alias("length"), "_position"))["_position"]
+    bins = binned.groupBy("_bin").agg(longest.alias("_position")).withColumn("_all", F.lit(0))
+    bins = ranked(bins, "_all", ["_bin"], "sequence_id", "_position").select(F.col("_bin").alias("_of"), "sequence_id")
+    return binned.join(bins, F.col("_bin") == F.col("_of")).select(*SCHEMA.names, "sequence_id", "offset")
