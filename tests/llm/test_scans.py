@@ -59,6 +59,27 @@ def test_strong_values_are_spans(strong):
     assert text[span.start : span.end] == strong.rstrip("!") and str(span).startswith("guess:")
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("DB_PASSWORD='p@9sW0r!d9x'", "p@9sW0r!d9x"), ("my_secret: k#93jQx!2Lw", "k#93jQx!2Lw"), ("dbpass = z@7Kq2!pW9", "z@7Kq2!pW9"),
+        ("AWS_SECRET_ACCESS_KEY = q9$kLm2!zR7", "q9$kLm2!zR7"), ("DB_PASS=z@7Kq2!pW9", "z@7Kq2!pW9"), ("passwordOld2: z@7Kq2!pW9", "z@7Kq2!pW9"),
+        ("the password is: Xy7$kk!2Qp", "Xy7$kk!2Qp"), ("Authorization: Bearer a$8Kq2!zPmW9", "a$8Kq2!zPmW9"), ("bearer a$8Kq2!zPmW9", "a$8Kq2!zPmW9"),
+        ("passphrase: qzxkvjwpmtrbn", "qzxkvjwpmtrbn"), ("password = token = z@7Kq2!pW9", "z@7Kq2!pW9"),
+    ],
+)
+def test_contexts(text, value):
+    spans = secret_scan.guessed_spans(text, [])
+    assert [text[s.start : s.end] for s in spans] == [value]
+
+
+@pytest.mark.parametrize(
+    "text", ["the secret is everything", "my password is Important.", "login: administrator", "token was required", "password isolation", "passwords: forgotten"]
+)
+def test_plain_words_are_no_secrets(text):
+    assert secret_scan.guessed_spans(text, []) == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abc1q w-Z!", max_size=12))
 def test_cheapest_segmentation(value):

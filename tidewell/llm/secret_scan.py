@@ -13,8 +13,11 @@ are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from collections.abc import Mapping
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_slices
+from tidewell.llm.packing import byte_letters
 
 #: Fixed patterns of the base; a match of each kind must be long enough too.
 ASSIGN = re.compile(
@@ -33,10 +37,13 @@ LEAST_VALUE = 8
 #: The kinds in the order that spans of one start are listed in.
 KINDS = ("assign", "access", "hex", "guess")
 
-#: A word for a credential, and what stands between it and its value.
+#: A word for a credential, and what stands between it and its value. Letters, digits, ``_`` and ``-`` may stand before
+#: the word, and parts of a name behind it. Separators may follow one another, and so may the scheme of a header.
 CONTEXT = re.compile(
-    r"\b(?:pass(?:word|wd|phrase|code|key)?|pwd|pin|secret|token|credentials?|login|auth(?:orization)?|bearer"
-    r"|(?:api|access|private|signing|encryption)[ _-]?key)s?[\"'`)\]]{0,2}[ \t]*(?:=>|:=|->|[:=]|is|was)[ \t]*[\"'`(\[]{0,2}"
+    r"(?:pass(?:word|wd|phrase|code|key)?|pwd|pin|secret|token|credentials?|login|auth(?:orization)?|bearer"
+    r"|(?:api|access|private|signing|encryption)[ _-]?key)s?(?:[_-][a-z0-9]+|(?-i:[A-Z])[a-z0-9]*|[0-9]+)*+[\"'`)\]]{0,2}"
+    r"(?:(?:[ \t]*(?:=>|:=|->|[:=]|(?:is|was)(?!(?-i:[a-z]+)(?:[\s.,:;!?]|$))))++(?:[ \t]*[\"'`(\[]{0,2}(?:bearer|basic|digest|token)[ \t]+(?![:=]|->))?"
+    r"|(?<=bearer)[ \t]+)[ \t]*[\"'`(\[]{0,2}"
     r"([^\s\"'`,;()\[\]{}<>]+)",
     re.IGNORECASE | re.ASCII,
 )
@@ -56,6 +63,7 @@ COMMON = (
 ).split()
 WORDS = {w: i + 1 for i, w in enumerate(COMMON)}
 LONGEST_WORD = max(map(len, WORDS))
+LONGEST_OF_MANY = 24
 #: Letters that stand for others in words.
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 #: Rows of a keyboard, and the digits and letters in their own order.
@@ -74,17 +82,20 @@ def brute(c: str) -> float:
     return math.log10(33) if c.isascii() else 2.0
 
 
-def segments(value: str) -> list[tuple[int, int, float]]:
+def segments(value: str, more_words: Mapping[str, int] | None = None) -> list[tuple[int, int, float]]:
     """Start, end and power of ten of the guesses of each cheap segment of a value."""
     found = []
     low = value.lower()
     plain = low.translate(LEET)
+    longest = max(LONGEST_WORD, LONGEST_OF_MANY) if more_words else LONGEST_WORD
     for i in range(len(value)):
-        for k in range(i + 3, min(len(value), i + LONGEST_WORD) + 1):
+        for k in range(i + 3, min(len(value), i + longest) + 1):
             for text, more in ((low, 0.0), (plain, 0.5)):
                 if (rank := WORDS.get(text[i:k])) is not None:
                     capitals = 0.5 if value[i:k] != low[i:k] else 0.0
                     found.append((i, k, math.log10(rank + 1) + more + capitals))
+                if more_words and text is low and (rank := more_words.get(text[i:k])) is not None:
+                    found.append((i, k, math.log10(rank + 1) + 0.5 * (value[i:k] != low[i:k])))
     for m in DATES.finditer(value):
         found.append((m.start(), m.end(), 2.1 if m.end() - m.start() == 4 else 4.6))
     for m in REPEATS.finditer(value):
@@ -100,10 +111,10 @@ def segments(value: str) -> list[tuple[int, int, float]]:
     return found
 
 
-def least_guesses(value: str) -> float:
+def least_guesses(value: str, more_words: Mapping[str, int] | None = None) -> float:
     """The power of ten of the guesses that the cheapest segmentation of a value takes."""
     ending: dict[int, list[tuple[int, float]]] = {}
-    for a, b, cost in segments(value):
+    for a, b, cost in segments(value, more_words):
         ending.setdefault(b, []).append((a, cost))
     best = [0.0] * (len(value) + 1)
     for k in range(1, len(value) + 1):
@@ -138,20 +149,42 @@ def guessed_spans(text: str, base: list[Span], guesses: float = GUESSES) -> list
     low = text.lower()
     if not any(s in low for s in STEMS):
         return []
-    found = []
-    for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
+    found: list[Span] = []
+    at = judged = 0
+    while m := CONTEXT.search(text, at):
+        a = at = m.start(1)
         value = m[1].rstrip(".:!?*#$%&|")
         b = a + len(value)
-        if len(value) >= LEAST_GUESSED and not any(s.start < b and a < s.end for s in base) and plausible(value):
-            if least_guesses(value) >= guesses:
+        # What ends a value that takes few guesses takes few.
+        if len(value) >= LEAST_GUESSED and a >= judged and not any(s.start < b and a < s.end for s in base):
+            judged = b
+            if least_guesses(value) >= guesses and not (value.isalpha() and is_words(value, guesses)):
                 found.append(Span(a, 3, b))
+                at = b
+        # A value that is none may be the word before another one.
     return found
 
 
-def plausible(value: str) -> bool:
-    """Not a plain word of whatever language: it has a digit or a sign, or changes case inside."""
-    return not value.isalpha() or any(c.isupper() for c in value[1:]) and any(c.islower() for c in value)
+@lru_cache(maxsize=1)
+def many_words() -> dict[str, int]:
+    """Some 30,000 words with their ranks, the whole words of a public vocabulary in its order."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    byte = {c: b for b, c in enumerate(byte_letters())}
+    ranks: dict[str, int] = {}
+    for word, rank in vocab.items():
+        if word.endswith("</w>"):
+            word = bytes(byte[c] for c in word[:-4]).decode("utf-8", "replace")
+            if len(word) >= 3 and word.isalpha():
+                ranks.setdefault(word, rank)
+    return ranks
+
+
+def is_words(value: str, guesses: float) -> bool:
+    """Whether letters alone take fewer guesses by the larger list of words."""
+    return least_guesses(value, many_words()) < guesses
 
 
 SCHEMA = pa.schema(
