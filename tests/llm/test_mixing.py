@@ -129,3 +129,28 @@ def test_pipeline_packs_in_the_order_of_the_mix(spark, monkeypatch):
         at = [s for s, d in longest.items() if of[d] == "src0"]
         means.append(sum(at) / len(at) / len(longest))
     assert means[0] < means[1]
+
+
+def test_each_source_of_the_table_has_its_own_deadlines(spark):
+    from tidewell.llm.queries import QUERIES
+
+    rows = QUERIES["op8_mixing"](spark, SF.replace("0.001", "0.01")).collect()
+    assert all(r["group"] == r["source"] for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)
+    named = {"src0": 5, "src1": 3, "src2": 2}
+    sources = {r["source"] for r in rows}
+    shares = {s: Fraction(named.get(s, Fraction(10, len(sources) - 3)), 20) for s in sources}
+    first = {r["slot"]: r["source"] for r in rows if r["phase"] == 0}
+    had = Counter()
+    for t in range(max(first) + 1):
+        had[first[t]] += 1
+        assert all(abs(had[s] - (t + 1) * share) < 1 for s, share in shares.items())
+
+
+def test_weights_by_source(spark, monkeypatch):
+    sources = ["a"] * 5 + ["b"] * 3 + ["c"] * 2 + ["d"]
+    docs = spark.createDataFrame([(s,) for s in sources], "source string")
+    assert mixing.by_source(docs, {"a": 2, "*": 3}) == {"a": 6, "b": 3, "c": 3, "d": 3, "*": 3}
+    assert mixing.by_source(docs.union(spark.createDataFrame([(None,)], "source string")), {"a": 2, "*": 3})["a"] == 8
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 4)
+    assert mixing.by_source(docs, {"a": 2, "*": 3}) == {"a": 4, "b": 3, "*": 3}
+    assert mixing.by_source(empty(spark), {"a": 2}) == {"a": 2, "*": 1}

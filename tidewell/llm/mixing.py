@@ -10,13 +10,14 @@ places any number of blocks by arithmetic. When a source runs out, the others
 go on in a new phase with their weights among themselves, until all rows are
 placed: no row is dropped or repeated.
 
-Sources not named in the weights, null among them, share the weight of ``*``. Repeated rows
-are placed each. An empty table gives no rows.
+Sources not named in the weights, null among them, share the weight of ``*``, in one queue
+or, by ``by_source``, each in its own. Repeated rows are placed each. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,11 +35,17 @@ def period(weights: Mapping[str, int]) -> list[str]:
     """The source of each slot of one period, earliest deadline first."""
     whole = sum(weights.values())
     done = dict.fromkeys(weights, 0)
+    waiting = [(0, s) for s in sorted(weights)]
+    ready: list[tuple[int, str]] = []
     slots = []
     for t in range(whole):
-        ready = [s for s, w in weights.items() if done[s] < w and done[s] * whole // w <= t]
-        due = min(ready, key=lambda s: (-(-(done[s] + 1) * whole // weights[s]), s))
+        while waiting and waiting[0][0] <= t:
+            _, s = heappop(waiting)
+            heappush(ready, (-(-(done[s] + 1) * whole // weights[s]), s))
+        _, due = heappop(ready)
         done[due] += 1
+        if done[due] < weights[due]:
+            heappush(waiting, (done[due] * whole // weights[due], due))
         slots.append(due)
     return slots
 
@@ -55,7 +62,9 @@ def schedule(blocks: Mapping[str, int], weights: Mapping[str, int]) -> dict[str,
         now = {s: weights[s] for s in sorted(left)}
         whole = sum(now.values())
         slots = period(now)
-        at: dict[str, list[int]] = {s: [i for i, x in enumerate(slots) if x == s] for s in now}
+        at: dict[str, list[int]] = {s: [] for s in now}
+        for i, s in enumerate(slots):
+            at[s].append(i)
         for s in now:
             out[s].append((blocks[s] - left[s], slot, now[s], whole, at[s]))
         # Whole periods, then slots one by one until a source runs out.
@@ -79,6 +88,24 @@ def check(weights: Mapping[str, int]) -> dict[str, int]:
     return {OTHERS: 1} | dict(weights)
 
 
+def by_source(docs: DataFrame, weights: Mapping[str, int]) -> dict[str, int]:
+    """``weights`` with an entry for each source that ``docs`` holds: those not named have equal parts of the weight of ``*``.
+
+    Where there are more than the bounds of a table of weights allow, the largest have entries of their own,
+    and the others are left to ``*``, as null is, with one such part.
+    """
+    weights = check(weights)
+    most = min(MOST_SOURCES - len(weights), MOST_SHARES // sum(weights.values()) - 1)
+    if most < 1:
+        return weights
+    other = docs.where(F.col("source").isNull() | ~F.col("source").isin(list(weights))).groupBy("source").count()
+    found = [r[0] for r in other.orderBy(F.desc("count"), "source").limit(most + 1).collect()]
+    rest = None in found or len(found) > most
+    own = [s for s in found if s is not None][: most - rest]
+    parts = max(1, len(own) + rest)
+    return {s: w * parts for s, w in weights.items() if s != OTHERS} | dict.fromkeys([*own, OTHERS], weights[OTHERS])
+
+
 def slots(docs: DataFrame, weights: Mapping[str, int], ident: list[str], block: int = BLOCK) -> DataFrame:
     """``ident`` and source of each row with its place: group, block, slot, position, phase.
 

@@ -22,7 +22,7 @@ from tidewell.llm import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
-#: Target weights of the mix: three sources by name, the rest together.
+#: Target weights of the mix: three sources by name, and the rest together, which each have an equal part of it.
 WEIGHTS = {"src0": 5, "src1": 3, "src2": 2, mixing.OTHERS: 10}
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 CAPACITY, TOKEN_LIMIT = 4096, 4096
@@ -69,7 +69,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.slots(documents(spark, sf_dir), WEIGHTS, ["doc_id"])
+    docs = documents(spark, sf_dir)
+    return mixing.slots(docs, mixing.by_source(docs, WEIGHTS), ["doc_id"])
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
