@@ -118,6 +118,15 @@ def test_full_caches_start_anew(monkeypatch):
         assert counter.count(t or "") == (len(counter.model.encode(t)) if t else 0)
 
 
+def test_frequent_words_are_of_the_whole_table(spark):
+    rows = [(i, f"so {'alpha' if i < 300 else 'gamma'} goes" + " on" * 5000 * (i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string")
+    words = token_counts.frequent(docs, PIECES, 60)[0].split("\n")
+    assert {" alpha", " gamma", " on"} <= set(words)
+    same = spark.createDataFrame([(1, "the same words")] * 500, "doc_id long, text string")
+    assert " same" in token_counts.frequent(same, PIECES, 500)[0].split("\n")
+
+
 def test_count_rows(spark):
     model = token_counts.coder(PIECES)
     rows = {r["doc_id"]: r for r in token_counts.token_counts(documents(spark), PIECES, 100).collect()}

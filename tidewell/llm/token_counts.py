@@ -152,11 +152,14 @@ class TokenCounter:
 def frequent(docs: DataFrame, path: str, rows: int = TABLE_ROWS, size: int = TABLE_SIZE) -> tuple[str, bytes]:
     """The compact table: pre-tokens in one string, their lengths in one array.
 
-    Taken from the first ``rows`` texts; bounded by ``size`` entries.
+    Taken from about ``rows`` texts that a hash chooses over all rows, of long ones from their
+    beginning; bounded by ``size`` entries.
     """
     counts: Counter[str] = Counter()
-    # take() reads as many partitions as it needs, where a limit would read all of them.
-    for (text,) in docs.where(F.length("text").between(1, TABLE_CHARS)).select("text").take(rows):
+    share = min(1.0, rows / max(1, docs.count()))
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Rows that are repeated hash alike: no more than twice the texts come to the driver even so.
+    for (text,) in chosen.where(F.length("text") > 0).select(F.substring("text", 1, TABLE_CHARS)).take(2 * rows):
         if MARK not in text and "\0" not in text:
             for line in text.split("\n"):
                 counts.update(pretokens(line))
