@@ -47,3 +47,17 @@ def test_blocks_of_all_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, QUERIES["document_blocks_all"](spark, str(tmp_path)).collect())) == wanted
     assert {r[0] for r in QUERIES["document_blocks"](spark, str(tmp_path)).collect()} == {0}
+
+
+def test_entities_and_envelopes_of_all_notes(spark):
+    from tidewell.sources import adapt
+
+    notes = {r["id"]: r for r in adapt.notes(spark, SF).collect()}
+    told = QUERIES["bech32_decode"](spark, SF).collect()
+    assert len(told) == 2 * len(notes) and {r["type"] for r in told} == set(codecs.ENTITIES)
+    assert {r["id"] for r in told if r["id"]} == set(notes) and {r["pubkey"] for r in told if r["pubkey"]} <= {r["pubkey"] for r in notes.values()}
+    opened = QUERIES["envelope_unwrap"](spark, SF).collect()
+    assert sorted(r["envelope_id"] for r in opened) == sorted(notes) and {"00", "01"} <= {i[:2] for i in notes}
+    for r in opened:
+        note = notes[r["envelope_id"]]
+        assert (r["created_at"], r["content"]) == (note["created_at"], note["content"] or "")
