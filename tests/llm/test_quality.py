@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import BLANKS, documents, empty, texts
 from tests.oracle import SF
@@ -73,15 +74,90 @@ def test_base_counts(spark):
     assert rules.judge(empty(spark)).collect() == []
 
 
-def test_model_is_that_of_a_brute_force_pass(spark):
-    """Posteriors by the definition, document by document, in place of counts of patterns."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    featured = docs.select(rules.features(docs["text"]).alias("f"))
-    model = rules.fitted(featured, "f")
-    votes = [tuple(r) for r in featured.select(*(rules.vote(v, "f") for v in rules.VOTERS)).collect()]
-    again = rules.fit([(v, 1) for v in votes], len(rules.VOTERS))
-    assert abs(model.prior - again.prior) < 1e-6
-    assert np.allclose(model.weights, again.weights, atol=1e-6)
+def by_definition(votes, n_rules):
+    """The estimate document by document and with products of probabilities: no patterns, no logarithms."""
+    good, on_good, on_bad = rules.PRIOR_GOOD, [rules.PRIOR_AGAINST_GOOD] * n_rules, [rules.PRIOR_AGAINST_BAD] * n_rules
+    k = rules.PRIOR_VOTES
+    posterior = []
+    for _ in range(rules.ROUNDS):
+        posterior = []
+        for row in votes:
+            a, b = good, 1 - good
+            for r, v in enumerate(row):
+                if v == -1:
+                    a, b = a * on_good[r], b * on_bad[r]
+                elif v == 1:
+                    a, b = a * (1 - on_good[r]), b * (1 - on_bad[r])
+            posterior.append(a / (a + b))
+        old = (good, *on_good, *on_bad)
+        good = (sum(posterior) + rules.PRIOR_GOOD * k) / (len(votes) + k)
+        for r in range(n_rules):
+            for of, prior, share in ((on_good, rules.PRIOR_AGAINST_GOOD, posterior), (on_bad, rules.PRIOR_AGAINST_BAD, [1 - p for p in posterior])):
+                cast = sum(p for p, row in zip(share, votes, strict=True) if row[r])
+                against = sum(p for p, row in zip(share, votes, strict=True) if row[r] == -1)
+                of[r] = (against + prior * k) / (cast + k)
+        if max(abs(x - y) for x, y in zip(old, (good, *on_good, *on_bad), strict=True)) < rules.SETTLED:
+            break
+    return good, on_good, on_bad
+
+
+def test_verdicts_are_those_of_a_pass_over_documents(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    featured = docs.select("doc_id", rules.features(docs["text"]).alias("f"))
+    rows = featured.select("doc_id", rules.base_failed("f").alias("failed"), *(rules.vote(v, "f").alias(v.name) for v in rules.VOTERS)).collect()
+    votes = {r[0]: tuple(r[2:]) for r in rows if not r["failed"]}
+    good, on_good, on_bad = by_definition(list(votes.values()), len(rules.VOTERS))
+    judged = {r["doc_id"]: r for r in rules.judge(docs).collect()}
+    kept_with_one_against = 0
+    for r in rows:
+        a, b = good, 1 - good
+        for v, x, y in zip(r[2:], on_good, on_bad, strict=True):
+            a, b = (a * x, b * y) if v < 0 else (a * (1 - x), b * (1 - y)) if v else (a, b)
+        assert abs(judged[r["doc_id"]]["posterior"] - a / (a + b)) < 1e-4
+        assert judged[r["doc_id"]]["kept"] == (not r["failed"] and a / (a + b) >= 0.5)
+        kept_with_one_against += judged[r["doc_id"]]["kept"] and min(r[2:]) < 0
+    # The verdict is not that all rules must pass.
+    assert kept_with_one_against > 0
+
+
+def test_known_accuracies_are_recovered():
+    for seed, share in ((1, 0.9), (2, 0.8), (3, 0.6), (4, 0.8)):
+        r = np.random.default_rng(seed)
+        n, k = 20_000, 8
+        on_good, on_bad = r.uniform(0.02, 0.1, k), r.uniform(0.5, 0.9, k)
+        good = r.random(n) < share
+        against = r.random((n, k)) < np.where(good[:, None], on_good, on_bad)
+        votes = np.where(r.random((n, k)) < 0.2, 0, np.where(against, -1, 1))
+        found = rules.estimate(sorted(Counter(map(tuple, votes.tolist())).items()), k)
+        assert abs(found.good - good.mean()) < 0.02
+        assert np.abs(np.array(found.against_good) - on_good).max() < 0.02
+        assert np.abs(np.array(found.against_bad) - on_bad).max() < 0.04, (seed, found.against_bad, on_bad)
+        # Votes for outweigh one against.
+        weights = found.model().weights
+        odds = found.model().prior + weights[0][0] + sum(by for _, by in weights[1:])
+        assert odds > 0
+
+
+def test_prior_vanishes_as_documents_grow():
+    votes = [((1, 1, -1), 30), ((-1, -1, 1), 20), ((1, 1, 1), 50)]
+    few, many = rules.estimate(votes, 3), rules.estimate([(v, 10_000 * n) for v, n in votes], 3)
+    assert abs(many.against_bad[0] - 1) < 1e-3 and abs(many.good - 0.8) < 0.05
+    assert abs(few.against_bad[0] - rules.PRIOR_AGAINST_BAD) < abs(many.against_bad[0] - rules.PRIOR_AGAINST_BAD)
+    assert rules.estimate([], 3).good == rules.PRIOR_GOOD
+
+
+def test_main_path_is_without_python(spark):
+    docs = documents(spark)
+    for made in (rules.judge(docs), rules.keep(docs), docs.select(rules.features(docs["text"]).alias("f"))):
+        plan = made._jdf.queryExecution().toString()
+        assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_very_long_texts_are_counted_whole(spark):
+    long = ["one two three four five " * 100_000, "x" * 2_000_000, "a b\n" * 200_000, ("Ünïcode wörds! " * 60_000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "doc_id long, text string")
+    found = {r["doc_id"]: tuple(r)[1:7] for r in rules.judge(docs).collect()}
+    assert found == {i: brute(t) for i, t in enumerate(long)}
 
 
 def test_junk_goes_and_clean_stays(spark):
@@ -95,6 +171,8 @@ def test_junk_goes_and_clean_stays(spark):
 
 def test_keep_has_the_columns_of_its_input(spark):
     docs = documents(spark)
+    docs = docs.withColumns({"_f": F.lit(1), "_F_": F.lit(2), "f": F.lit(3), "votes": F.lit("x")})
     kept = rules.keep(docs)
     assert kept.columns == docs.columns
+    assert rules.keep(empty(spark)).collect() == []
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in rules.judge(docs).where("kept").collect()}

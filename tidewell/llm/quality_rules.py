@@ -4,11 +4,16 @@ Each rule votes for a document (1), against it (-1) or abstains (0).
 Expectation-maximisation over the counts of vote patterns, of which there are at
 most three to the power of the number of rules, estimates how often each rule is
 right and how common good documents are. A document's posterior probability of
-being good replaces the demand that it pass all rules.
+being good replaces the demand that it pass all rules: some rules are noisy on
+purpose, and votes for a document can outweigh one against it.
+
+Two base rules reject by themselves. The estimate is made on the documents that
+they leave open, as those alone need a verdict.
 
 Null texts have no words. A document with fewer words than the base rules ask
-for fails, whatever its posterior. Repeated rows are judged each. An empty table
-gives no rows.
+for fails, whatever its posterior. Repeated rows are judged each, and equal texts
+alike. Texts of any length are judged whole. An empty table gives no rows. Other
+columns of the input, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -26,17 +31,16 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: A document is kept from this posterior on.
 KEEP = 0.5
 #: Before any document is seen: the share of votes against among a rule's votes on good and on bad documents,
-#: the share of good documents, and the number of documents that these beliefs weigh as much as.
-PRIOR_AGAINST_GOOD, PRIOR_AGAINST_BAD = 0.002, 0.4
+#: the share of good documents, and the number of documents that these beliefs weigh as much as, however many there are.
+PRIOR_AGAINST_GOOD, PRIOR_AGAINST_BAD = 0.02, 0.4
 PRIOR_GOOD, PRIOR_VOTES = 0.8, 50.0
-#: Rules are written to vote against few good documents. The estimate of how many is held to this
-#: share, else the more numerous kind of bad documents would pass for the good ones.
-MOST_WRONG = 0.002
-ROUNDS = 60
+#: The estimate ends when no share changes by more than this, or after so many rounds.
+SETTLED, ROUNDS = 1e-7, 500
 
 
 class Voter(NamedTuple):
-    """Against from ``bad`` on, for up to ``good``, abstaining between, on a ratio of features."""
+    """On a ratio of features: for a document up to ``good``, against it from ``bad`` on, abstaining
+    between. Where ``good`` is the larger, high ratios are the good ones."""
 
     name: str
     over: str
@@ -45,20 +49,31 @@ class Voter(NamedTuple):
     bad: float
 
 
+#: The last three are noisy: languages without these words, lists and long texts get votes against.
 VOTERS = [
     Voter("symbols", "n_symbols", "n_words", 0.02, 0.1),
-    Voter("repeats", "n_repeat_words", "n_words", 0.2, 0.5),
-    Voter("lines", "n_dup_lines", "n_lines", 0.05, 0.6),
+    Voter("repeats", "n_repeat_words", "n_words", 0.1, 0.3),
+    Voter("lines", "n_dup_lines", "n_lines", 0.05, 0.3),
     Voter("capitals", "n_capitals", "word_chars", 0.15, 0.4),
     Voter("shouts", "n_shouts", "n_words", 0.01, 0.1),
     Voter("digits", "n_digits", "word_chars", 0.1, 0.3),
-    Voter("lengths", "word_chars", "n_words", 12.0, 40.0),
+    Voter("lengths", "word_chars", "n_words", 8.0, 10.0),
+    Voter("functions", "n_functions", "n_words", 0.1, 0.02),
+    Voter("distinct", "n_distinct", "n_words", 0.5, 0.25),
+    Voter("ends", "n_ends", "n_words", 0.04, 0.01),
 ]
 
+#: Words that hold sentences together, of four languages.
+FUNCTION_WORDS = (
+    "the of and to in is it that was for as with are on by this from "
+    "der die das und zu den von mit für im ein eine ist auf "
+    "le la les de des du et que est dans pour par un une qui "
+    "el los las y en con por una del se es"
+).split()
+
 
-def covered(words: Column) -> Column:
+def covered(hashes: Column) -> Column:
     """Words in three-word windows that the text has twice or more."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
     windows = let(
         hashes,
         lambda h: F.transform(
@@ -75,7 +90,7 @@ def covered(words: Column) -> Column:
         ),
     )
     places = F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(places))))
+    return F.when(F.size(hashes) < 4, F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(places))))
 
 
 def features(text: Column) -> Column:
@@ -84,7 +99,16 @@ def features(text: Column) -> Column:
     count = lambda pattern: F.regexp_count(whole, F.lit(pattern)).cast("long")
     words = F.filter(F.split(whole, f"[{BLANK_CLASS}]+", -1), lambda w: w != "")
     full = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), covered(w).alias("r")))
+    functions = F.array(*(F.xxhash64(F.lit(w)) for w in FUNCTION_WORDS))
+    of_words = let(
+        F.transform(words, lambda w: F.xxhash64(w)),
+        lambda h: F.struct(
+            F.size(h).alias("n"),
+            covered(h).alias("r"),
+            F.size(F.array_distinct(h)).alias("d"),
+            F.size(F.filter(h, lambda x: F.array_contains(functions, x))).alias("f"),
+        ),
+    )
     of_lines = let(full, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
     return let(
         F.struct(of_words.alias("w"), of_lines.alias("l")),
@@ -98,6 +122,9 @@ def features(text: Column) -> Column:
             count(r"\p{Lu}").alias("n_capitals"),
             count(r"[!?]{2,}").alias("n_shouts"),
             count(r"[0-9]").alias("n_digits"),
+            x["w"]["f"].cast("long").alias("n_functions"),
+            x["w"]["d"].cast("long").alias("n_distinct"),
+            count(f"[.!?](?![^{BLANK_CLASS}])").alias("n_ends"),
         ),
     )
 
@@ -105,7 +132,8 @@ def features(text: Column) -> Column:
 def vote(voter: Voter, of: str) -> Column:
     over, below = F.col(f"{of}.{voter.over}"), F.col(f"{of}.{voter.below}")
     ratio = over / F.greatest(below, F.lit(1))
-    return F.when(ratio >= voter.bad, -1).when(ratio <= voter.good, 1).otherwise(0).cast("int")
+    sign = 1 if voter.good < voter.bad else -1
+    return F.when(sign * ratio >= sign * voter.bad, -1).when(sign * ratio <= sign * voter.good, 1).otherwise(0).cast("int")
 
 
 class Model(NamedTuple):
@@ -121,45 +149,60 @@ class Model(NamedTuple):
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_voters: int) -> Model:
+class Shares(NamedTuple):
+    """What is estimated: the share of good documents, and of each rule's votes on good and on bad ones those against."""
+
+    good: float
+    against_good: list[float]
+    against_bad: list[float]
+
+    def model(self) -> Model:
+        pairs = zip(self.against_good, self.against_bad, strict=True)
+        weights = [(math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in pairs]
+        return Model(math.log(self.good / (1 - self.good)), weights)
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_voters: int) -> Shares:
     """Expectation-maximisation over (votes, number of documents).
 
     A rule's accuracy is how many of its votes on good documents, and how many on
-    bad ones, are against. A vote against is rarely cast on a good one, while a
-    vote for says little where most rules find nothing amiss. A rule that
-    abstains says nothing.
+    bad ones, are against. A rule that abstains says nothing. The prior says which of the two classes is
+    the good one and counts as much as a few documents; it vanishes as documents grow.
     """
-    against = {True: [PRIOR_AGAINST_GOOD] * n_voters, False: [PRIOR_AGAINST_BAD] * n_voters}
-    model = Model(0.0, [])
-    good = PRIOR_GOOD
+    now = Shares(PRIOR_GOOD, [PRIOR_AGAINST_GOOD] * n_voters, [PRIOR_AGAINST_BAD] * n_voters)
+    cast = [([r for r, v in enumerate(votes) if v], [r for r, v in enumerate(votes) if v < 0], n) for votes, n in patterns]
+    whole = sum(n for _, n in patterns) + PRIOR_VOTES
     for _ in range(ROUNDS):
-        weights = [
-            (math.log(g / b), math.log((1 - g) / (1 - b))) for g, b in zip(against[True], against[False], strict=True)
-        ]
-        model = Model(math.log(good / (1 - good)), weights)
-        hits = {True: [PRIOR_AGAINST_GOOD * PRIOR_VOTES] * n_voters, False: [PRIOR_AGAINST_BAD * PRIOR_VOTES] * n_voters}
-        cast = {c: [PRIOR_VOTES] * n_voters for c in hits}
-        docs = {True: PRIOR_GOOD * PRIOR_VOTES, False: (1 - PRIOR_GOOD) * PRIOR_VOTES}
-        for votes, n in patterns:
-            odds = model.prior + sum(w[v > 0] for v, w in zip(votes, weights, strict=True) if v)
-            p = 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
-            for c, mass in ((True, n * p), (False, n * (1 - p))):
-                docs[c] += mass
-                for r, v in enumerate(votes):
-                    if v:
-                        cast[c][r] += mass
-                        hits[c][r] += mass * (v < 0)
-        against = {c: [h / n for h, n in zip(hits[c], cast[c], strict=True)] for c in hits}
-        against[True] = [min(x, MOST_WRONG) for x in against[True]]
-        good = docs[True] / (docs[True] + docs[False])
-    return model
+        model = now.model()
+        by = [w for _, w in model.weights]
+        more = [a - b for a, b in model.weights]
+        good = PRIOR_GOOD * PRIOR_VOTES
+        votes_good, votes_bad = [PRIOR_VOTES] * n_voters, [PRIOR_VOTES] * n_voters
+        hits_good, hits_bad = [PRIOR_AGAINST_GOOD * PRIOR_VOTES] * n_voters, [PRIOR_AGAINST_BAD * PRIOR_VOTES] * n_voters
+        for voting, against, n in cast:
+            odds = model.prior + sum(by[r] for r in voting) + sum(more[r] for r in against)
+            mass = n / (1 + math.exp(-odds)) if odds > -700 else 0.0
+            good += mass
+            for r in voting:
+                votes_good[r] += mass
+                votes_bad[r] += n - mass
+            for r in against:
+                hits_good[r] += mass
+                hits_bad[r] += n - mass
+        share = lambda hits, votes: [h / v for h, v in zip(hits, votes, strict=True)]
+        before, now = now, Shares(good / whole, share(hits_good, votes_good), share(hits_bad, votes_bad))
+        pairs = zip((before.good, *before.against_good, *before.against_bad), (now.good, *now.against_good, *now.against_bad), strict=True)
+        if max(abs(a - b) for a, b in pairs) < SETTLED:
+            break
+    return now
 
 
 def fitted(featured: DataFrame, of: str) -> Model:
+    """The model of the documents that the base rules leave open, from one row for each pattern of votes."""
     names = [v.name for v in VOTERS]
-    votes = featured.select(*(vote(v, of).alias(v.name) for v in VOTERS))
+    votes = featured.where(~base_failed(of)).select(*(vote(v, of).alias(v.name) for v in VOTERS))
     found = votes.groupBy(*names).count().collect()
-    return fit(sorted((tuple(r[:-1]), r[-1]) for r in found), len(VOTERS))
+    return estimate(sorted((tuple(r[:-1]), r[-1]) for r in found), len(VOTERS)).model()
 
 
 def base_failed(of: str) -> Column:
