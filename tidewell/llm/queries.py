@@ -53,7 +53,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(documents(spark, sf_dir))
+    return secret_scan.scan(documents(spark, sf_dir), secret_scan.ranked_words(tokenizer(WORD_BPE)))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

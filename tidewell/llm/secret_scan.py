@@ -3,11 +3,13 @@
 The base finds assignments, access keys and long hexadecimal runs. Beside it,
 the value that follows a word for a credential is cut, by dynamic programming,
 into the segments that cost an attacker least: words, dates, repeats, keyboard
-walks and single characters tried by brute force. A value that takes many
-guesses even so is a secret; a word or a date after ``password is`` is not.
+walks, addresses and single characters tried by brute force. The cost alone decides: a value
+that takes many guesses even so is a secret, of whatever characters it is; a word or a date
+after ``password is`` is not.
 
-Null and empty texts have no spans. Repeated rows are scanned each. Positions
-are code points, ends exclusive.
+Null and empty texts have no spans. Repeated rows are scanned each, also those without a
+doc_id. Texts of any length are scanned whole, in time that grows with their length. An empty table gives
+no rows. Other columns of the input, whatever their names, play no part. Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Mapping
-from functools import lru_cache
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping
+from itertools import accumulate
 from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,14 +46,15 @@ KINDS = ("assign", "access", "hex", "guess")
 CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code|key)?|pwd|pin|secret|token|credentials?|login|auth(?:orization)?|bearer"
     r"|(?:api|access|private|signing|encryption)[ _-]?key)s?(?:[_-][a-z0-9]+|(?-i:[A-Z])[a-z0-9]*|[0-9]+)*+[\"'`)\]]{0,2}"
-    r"(?:(?:[ \t]*(?:=>|:=|->|[:=]|(?:is|was)(?!(?-i:[a-z]+)(?:[\s.,:;!?]|$))))++(?:[ \t]*[\"'`(\[]{0,2}(?:bearer|basic|digest|token)[ \t]+(?![:=]|->))?"
-    r"|(?<=bearer)[ \t]+)[ \t]*[\"'`(\[]{0,2}"
-    r"([^\s\"'`,;()\[\]{}<>]+)",
+    r"(?:(?:[ \t]*(?:=>|:=|->|[:=])|[ \t]+(?:is|was)(?=[ \t:=]))++(?:[ \t]*[\"'`(\[]{0,2}(?:bearer|basic|digest|token)[ \t]+(?![:=]|->))?"
+    r"|(?<=bearer)[ \t]+)[ \t]*[\"'`(\[]{0,2}(?=[^\s\"'`,;()\[\]{}<>])",
     re.IGNORECASE | re.ASCII,
 )
+VALUE = re.compile(r"[^\s\"'`,;()\[\]{}<>]+")
+#: What ends a sentence or a clause behind a value and is no part of it.
+AFTER = ".:"
 #: Parts of which every text with a context has one, in lower case.
 STEMS = ("pass", "pwd", "pin", "secret", "token", "credential", "login", "auth", "bearer", "key")
-LEAST_GUESSED = 6
 #: A value is a secret from so many guesses on, as a power of ten.
 GUESSES = 8.0
 
@@ -61,9 +66,6 @@ COMMON = (
     "required optional string hidden redacted unknown placeholder summer winter spring autumn january february "
     "march april may june july august september october november december monday friday london paris love money"
 ).split()
-WORDS = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST_WORD = max(map(len, WORDS))
-LONGEST_OF_MANY = 24
 #: Letters that stand for others in words.
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 #: Rows of a keyboard, and the digits and letters in their own order.
@@ -71,6 +73,11 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrs
 NEXT = {r[i : i + 2] for row in ROWS for r in (row, row[::-1]) for i in range(len(row) - 1)}
 DATES = re.compile(r"\d{1,4}([-/._])\d{1,2}\1\d{1,4}|(?:19|20)\d\d(?:[01]\d[0-3]\d)?|[0-3]\d[01]\d(?:19|20)\d\d")
 REPEATS = re.compile(r"(.{1,8}?)\1{2,}", re.DOTALL)
+#: Addresses are known and not guessed: of mail, and of hosts behind a scheme.
+ADDRESS = re.compile(r"(?<![\w.+-])[\w.+-]++@(?:[\w-]{3,}+\.)+(?:com|org|net|edu|gov|info|io|eu|uk|de|fr|es)\b|https?://[\w.-]++(?::\d++)?(?![\w@:])", re.ASCII)
+ADDRESS_COST = 4.0
+#: What joins words takes few guesses.
+JOINTS = "-_./"
 
 
 def brute(c: str) -> float:
@@ -79,29 +86,48 @@ def brute(c: str) -> float:
         return 1.0
     if c.isascii() and c.isalpha():
         return math.log10(26)
+    if c in JOINTS:
+        return math.log10(5)
     return math.log10(33) if c.isascii() else 2.0
 
 
-def segments(value: str, more_words: Mapping[str, int] | None = None) -> list[tuple[int, int, float]]:
+class Words:
+    """Ranked words that attackers try, found in a value in one pass."""
+
+    def __init__(self, ranks: Mapping[str, int]):
+        self.ranks = dict(ranks)
+        self.pass_over = ahocorasick.Automaton()
+        for word, rank in self.ranks.items():
+            self.pass_over.add_word(word, (len(word), math.log10(rank + 1)))
+        self.pass_over.make_automaton()
+
+    def __reduce__(self):
+        return Words, (self.ranks,)
+
+    def within(self, text: str) -> Iterator[tuple[int, int, float]]:
+        for last, (length, cost) in self.pass_over.iter(text):
+            yield last + 1 - length, last + 1, cost
+
+
+WORDS = Words({w: i + 1 for i, w in enumerate(COMMON)})
+
+
+def segments(value: str, words: Words = WORDS) -> list[tuple[int, int, float]]:
     """Start, end and power of ten of the guesses of each cheap segment of a value."""
     found = []
-    low = value.lower()
+    # Letters that grow when lowered keep their places.
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
-    longest = max(LONGEST_WORD, LONGEST_OF_MANY) if more_words else LONGEST_WORD
-    for i in range(len(value)):
-        for k in range(i + 3, min(len(value), i + longest) + 1):
-            for text, more in ((low, 0.0), (plain, 0.5)):
-                if (rank := WORDS.get(text[i:k])) is not None:
-                    capitals = 0.5 if value[i:k] != low[i:k] else 0.0
-                    found.append((i, k, math.log10(rank + 1) + more + capitals))
-                if more_words and text is low and (rank := more_words.get(text[i:k])) is not None:
-                    found.append((i, k, math.log10(rank + 1) + 0.5 * (value[i:k] != low[i:k])))
+    for text, more in ((low, 0.0), (plain, 0.5)) if plain != low else ((low, 0.0),):
+        for i, k, cost in words.within(text):
+            found.append((i, k, cost + more + (0.5 if value[i:k] != low[i:k] else 0.0)))
     for m in DATES.finditer(value):
         found.append((m.start(), m.end(), 2.1 if m.end() - m.start() == 4 else 4.6))
+    for m in ADDRESS.finditer(value):
+        found.append((m.start(), m.end(), ADDRESS_COST))
     for m in REPEATS.finditer(value):
         unit = m[1]
-        cost = least_guesses(unit) if len(unit) < len(value) else sum(map(brute, unit))
-        found.append((m.start(), m.end(), cost + math.log10(len(m[0]) / len(unit))))
+        found.append((m.start(), m.end(), least_guesses(unit, words) + math.log10(len(m[0]) / len(unit))))
     start = 0
     for i in range(1, len(low) + 1):
         if i == len(low) or low[i - 1 : i + 1] not in NEXT:
@@ -111,10 +137,10 @@ def segments(value: str, more_words: Mapping[str, int] | None = None) -> list[tu
     return found
 
 
-def least_guesses(value: str, more_words: Mapping[str, int] | None = None) -> float:
+def least_guesses(value: str, words: Words = WORDS) -> float:
     """The power of ten of the guesses that the cheapest segmentation of a value takes."""
     ending: dict[int, list[tuple[int, float]]] = {}
-    for a, b, cost in segments(value, more_words):
+    for a, b, cost in segments(value, words):
         ending.setdefault(b, []).append((a, cost))
     best = [0.0] * (len(value) + 1)
     for k in range(1, len(value) + 1):
@@ -125,6 +151,20 @@ def least_guesses(value: str, more_words: Mapping[str, int] | None = None) -> fl
     return best[-1]
 
 
+def ranked_words(path: str) -> Words:
+    """WORDS, and behind them the whole words of a public vocabulary, some 30,000, by their order in it."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    byte = {c: b for b, c in enumerate(byte_letters())}
+    ranks = dict(WORDS.ranks)
+    for word in sorted(vocab, key=vocab.get):
+        if word.endswith("</w>"):
+            word = bytes(byte[c] for c in word[:-4]).decode("utf-8", "replace")
+            if len(word) >= 3 and word.isalpha():
+                ranks.setdefault(word, len(ranks) + 1)
+    return Words(ranks)
+
+
 class Span(NamedTuple):
     start: int
     rank: int
@@ -144,49 +184,36 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def guessed_spans(text: str, base: list[Span], guesses: float = GUESSES) -> list[Span]:
-    """Values after a word for a credential that take many guesses and that the base lacks."""
+def guessed_spans(text: str, base: list[Span], words: Words = WORDS, guesses: float = GUESSES) -> list[Span]:
+    """Values after a word for a credential that take many guesses and that the base lacks.
+
+    ``base`` is sorted. A value is costed once, however many contexts lie in it.
+    """
     low = text.lower()
     if not any(s in low for s in STEMS):
         return []
+    starts = [s.start for s in base]
+    reach = list(accumulate((s.end for s in base), max))
     found: list[Span] = []
-    at = judged = 0
+    at = end = trimmed = 0
+    costed = False
     while m := CONTEXT.search(text, at):
-        a = at = m.start(1)
-        value = m[1].rstrip(".:!?*#$%&|")
-        b = a + len(value)
-        # What ends a value that takes few guesses takes few.
-        if len(value) >= LEAST_GUESSED and a >= judged and not any(s.start < b and a < s.end for s in base):
-            judged = b
-            if least_guesses(value) >= guesses and not (value.isalpha() and is_words(value, guesses)):
-                found.append(Span(a, 3, b))
-                at = b
         # A value that is none may be the word before another one.
+        a = at = m.end()
+        if a >= end:
+            value = VALUE.match(text, a)
+            end, trimmed, costed = value.end(), a + len(value[0].rstrip(AFTER)), False
+        before = bisect_left(starts, trimmed)
+        # What ends a value that takes few guesses takes few.
+        if costed or trimmed <= a or before and reach[before - 1] > a:
+            continue
+        costed = True
+        if least_guesses(text[a:trimmed], words) >= guesses:
+            found.append(Span(a, 3, trimmed))
+            at = end
     return found
 
 
-@lru_cache(maxsize=1)
-def many_words() -> dict[str, int]:
-    """Some 30,000 words with their ranks, the whole words of a public vocabulary in its order."""
-    import public_tokenizers
-
-    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    byte = {c: b for b, c in enumerate(byte_letters())}
-    ranks: dict[str, int] = {}
-    for word, rank in vocab.items():
-        if word.endswith("</w>"):
-            word = bytes(byte[c] for c in word[:-4]).decode("utf-8", "replace")
-            if len(word) >= 3 and word.isalpha():
-                ranks.setdefault(word, rank)
-    return ranks
-
-
-def is_words(value: str, guesses: float) -> bool:
-    """Whether letters alone take fewer guesses by the larger list of words."""
-    return least_guesses(value, many_words()) < guesses
-
-
 SCHEMA = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -199,15 +226,22 @@ SCHEMA = pa.schema(
 )
 
 
-def scan(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+def scan(docs: DataFrame, words: Words = WORDS, guesses: float = GUESSES) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    ``words`` has the rank of each word that attackers try; it is broadcast, so it should be a list
+    that someone has written and not grow with the documents.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(words)
 
     def make():
+        known = held.value
+
         def apply(rows: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {n: [] for n in SCHEMA.names}
             for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
                 base = base_spans(text or "")
-                more = guessed_spans(text or "", base, guesses)
+                more = guessed_spans(text or "", base, known, guesses)
                 counts = [sum(s.rank == k for s in base) for k in range(3)]
                 told = hashlib.sha256(",".join(map(str, base)).encode()).hexdigest()
                 row = (doc_id, *counts, told, ",".join(map(str, sorted(base + more))))
