@@ -109,9 +109,10 @@ def test_long_texts_in_blocks(monkeypatch):
     assert simhash.fingerprint(texts()[6]) == wanted
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_no_link_is_lost(spark, seed):
-    """Fingerprints at all distances around a few centres, in every segment."""
+@pytest.mark.parametrize(("seed", "crowded"), [(0, 64), (1, 64), (0, 1), (1, 1), (2, 2), (3, 4)])
+def test_no_link_is_lost(spark, seed, crowded, monkeypatch):
+    """Fingerprints at all distances around a few centres, in every segment; buckets are cut by pieces or not."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     r = random.Random(seed)
     fps = set()
     for _ in range(12):
@@ -126,6 +127,26 @@ def test_no_link_is_lost(spark, seed):
     assert joined(signed, pairs) == joined(signed, [(a, b) for a in signed for b in signed if a > b and distance(a, b) <= 4])
 
 
+def test_crowded_buckets_are_cut(spark, monkeypatch):
+    """Few bits of the first segment vary, so its buckets are as full as in a large corpus: the same links from far fewer comparisons."""
+    r = random.Random(4)
+    fps = {sum(1 << b for b in [*range(0, 21, 3), *range(21, 64)] if r.random() < 0.5) for _ in range(1000)}
+    fps |= {f ^ sum(1 << b for b in r.sample(range(64), r.randint(1, 4))) for f in sorted(fps)[::3]}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(f, 1) for f in signed], "fp long, n long")
+    found, met = [], []
+    for crowded in (10**9, 8):
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        found.append(joined(signed, [tuple(p) for p in simhash.links(nodes).collect()]))
+        keys = simhash.variants(nodes)
+        members = keys.join(keys.groupBy("key").count().withColumnRenamed("count", "members"), "key")
+        sizes = simhash.cut(members).groupBy("key", "piece", "part").count()
+        met.append(sizes.selectExpr("sum(count * count)").first()[0])
+    distance = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    assert found[0] == found[1] == joined(signed, [(a, b) for a in signed for b in signed if a > b and distance(a, b) <= 4])
+    assert met[1] < met[0] / 2, met
+
+
 def joined(nodes: list[int], pairs: list[tuple[int, int]]) -> dict[int, int]:
     least = {n: n for n in nodes}
     changed = True

@@ -5,22 +5,27 @@ differ in at most four bits, some segment differs in at most one: were all three
 to differ in two or more, six bits would differ. So each fingerprint is indexed
 by the variants of its segments that leave one bit out; two segments that
 differ in at most one bit share such a variant. Equal variants are joined and
-the whole fingerprints compared.
+the whole fingerprints compared. Where many fingerprints share a variant, as they do by chance
+when the corpus is large, the bits outside the segment are cut into one piece more than the bits that
+may differ there: some piece is equal, and joins the variant in the key.
 
 Documents with one fingerprint are one node of the graph of links. Components
 come from alternating star contractions, each round written to the shared folder.
 
 Null and empty texts have fingerprint zero, like texts of blanks, and link like
-any other. Repeated rows are answered each. A row with a null doc_id is
-answered too; it names no component but links the others.
+any other. Texts of any length are read whole. Repeated rows are answered each. A row with a null doc_id is
+answered too; it names no component but links the others. An empty table gives no rows. Other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_slices, materialise
@@ -31,6 +36,8 @@ SEED = 42
 NEAR = 4
 #: First bit and width of the segments.
 SEGMENTS = [(0, 21), (21, 21), (42, 22)]
+#: A variant that more fingerprints share is cut by pieces of the other bits.
+CROWDED = 64
 #: Shingles whose bits are counted at a time.
 BLOCK = 65_536
 
@@ -84,18 +91,53 @@ def variants(nodes: DataFrame) -> DataFrame:
 def lowest_shared() -> str:
     """Of the variants that fingerprints a and b share, the lowest: at the bit that a segment
     differs in, or at its first bit if it is equal."""
-    masks = [((1 << width) - 1) << first for first, width in SEGMENTS]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    masks = [signed(((1 << width) - 1) << first) for first, width in SEGMENTS]
     return (
         "CASE "
         + " ".join(
-            f"WHEN bit_count((a ^ b) & {m}L) = 0 THEN {first} WHEN bit_count((a ^ b) & {m}L) = 1 THEN bit_count(((a ^ b) & {m}L) - 1)"
-            for m, (first, _) in zip(signed, SEGMENTS, strict=True)
+            f"WHEN bit_count((a ^ b) & {m}) = 0 THEN {first} WHEN bit_count((a ^ b) & {m}) = 1 THEN bit_count(((a ^ b) & {m}) - 1)"
+            for m, (first, _) in zip(masks, SEGMENTS, strict=True)
         )
         + " END"
     )
 
 
+def signed(mask: int) -> str:
+    return f"{mask - (1 << 64) if mask >> 63 else mask}L"
+
+
+def pieces(first: int, width: int, n: int) -> list[str]:
+    """Masks of ``n`` pieces of the bits outside a segment."""
+    others = [b for b in range(64) if not first <= b < first + width]
+    return [signed(sum(1 << b for b in others[i * len(others) // n : (i + 1) * len(others) // n])) for i in range(n)]
+
+
+#: For the bits left out from ``p`` on: the masks of the pieces. If a pair differs in bit ``p`` of the segment, up to NEAR - 1
+#: bits differ outside; pairs whose segment is equal meet at its first bit, with up to NEAR bits outside.
+CUTS = [
+    (at, pieces(first, width, n))
+    for first, width in SEGMENTS
+    for at, n in ((first, NEAR + 1), (first + 1, NEAR))
+]
+
+
+def by_cut(of: Callable[[list[str]], str]) -> str:
+    """An expression that depends on the pieces which ``p`` goes with."""
+    whens = " ".join(f"WHEN p >= {at} THEN {of(masks)}" for at, masks in reversed(CUTS))
+    return f"CASE {whens} END"
+
+
+def first_equal(masks: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN (a ^ b) & {m} = 0 THEN {i}" for i, m in enumerate(masks)) + " END"
+
+
+def cut(members: DataFrame) -> DataFrame:
+    """``members`` with piece and part, by which they join besides their key: a row for each piece where the bucket is crowded."""
+    parts = by_cut(lambda masks: "array(" + ", ".join(f"fp & {m}" for m in masks) + ")")
+    split = F.when(F.col("members") > CROWDED, F.expr(parts)).otherwise(F.array(F.lit(0).cast("long")))
+    return members.select("*", F.posexplode(split).alias("piece", "part"))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Links a, b between different fingerprints that join what all links would join.
 
@@ -103,7 +145,8 @@ def links(nodes: DataFrame) -> DataFrame:
     variant form a bucket, and its most frequent one is the bucket's centre.
     Those that link to the centre are joined through it, so a group of copies
     gives a star and not all its pairs. Only what doesn't link to the centre is
-    compared with the rest of its bucket, at the lowest variant that a pair shares.
+    compared with the rest of its bucket, at the lowest variant that a pair shares, and in a crowded
+    bucket only with what has an equal piece of the other bits.
     """
     keys = variants(nodes)
     centre = F.max_by("fp", F.struct("n", "fp")).alias("centre")
@@ -112,19 +155,25 @@ def links(nodes: DataFrame) -> DataFrame:
     # Each row of the index is told its bucket's centre; those alone in their bucket have none and go.
     told = keys.join(shared, keys["key"] == shared["_key"], "left")
     crowded = F.coalesce("members", F.col("p") - 64) > 1
-    members = materialise(told.where(crowded).select("fp", "p", "key", "centre"), "members")
+    members = materialise(told.where(crowded).select("fp", "p", "key", "centre", "members"), "members")
     near = F.expr(f"bit_count(fp ^ centre) <= {NEAR}")
     stars = members.where(near & (F.col("fp") != F.col("centre"))).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
-    far = members.where(~near).select(F.col("fp").alias("a"), "key", "p")
-    rest = members.select(F.col("fp").alias("b"), F.col("key").alias("key_b"), near.alias("near_b"))
-    # Two that are both far meet once, by their order.
-    on = (F.col("key") == F.col("key_b")) & F.expr(
-        f"a != b AND (near_b OR a > b) AND bit_count(a ^ b) <= {NEAR} AND p = {lowest_shared()}"
-    )
-    both = stars.union(far.join(rest, on).select("a", "b"))
+    both = stars.union(compared(members, near))
     return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def compared(members: DataFrame, near: Column) -> DataFrame:
+    """Links a, b of the members that don't link to their bucket's centre."""
+    on = ["key", "piece", "part"]
+    far = cut(members.where(~near)).select(F.col("fp").alias("a"), "p", "members", *on)
+    rest = cut(members).select(F.col("fp").alias("b"), near.alias("near_b"), *(F.col(c).alias(f"{c}_b") for c in on))
+    equal = " AND ".join(f"{c} = {c}_b" for c in on)
+    # Two that are both far meet once, by their order, and at the first of their equal pieces.
+    once = f"(members <= {CROWDED} OR piece = {by_cut(first_equal)})"
+    pair = f"a != b AND (near_b OR a > b) AND bit_count(a ^ b) <= {NEAR} AND p = {lowest_shared()} AND {once}"
+    return far.join(rest, F.expr(f"{equal} AND {pair}")).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for the nodes of ``edges`` (a, b).
 
