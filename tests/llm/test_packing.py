@@ -61,10 +61,10 @@ def test_plan_uses_each_piece_once(counts):
     assert sum(b for _, b in plan) <= 1.25 * len(bins) + 1
 
 
-@pytest.mark.parametrize("capacity", [4096, 50])
-def test_pack(spark, library, capacity):
+@pytest.mark.parametrize(("capacity", "window"), [(4096, None), (50, None), (4096, 4096), (50, 7), (50, 100)])
+def test_pack(spark, library, capacity, window):
     docs = documents(spark)
-    rows = packing.pack(docs, PATH, capacity).collect()
+    rows = packing.pack(docs, PATH, capacity, window=window).collect()
     by_doc = defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
@@ -84,29 +84,30 @@ def test_pack(spark, library, capacity):
             end += length
         assert end <= capacity
     lower = -(-sum(r["length"] for r in rows) // capacity)
-    assert lower <= len(sequences) <= lower * 1.1 + 1
+    assert lower <= len(sequences) <= lower * 1.1 + 1 + (len(rows) / window if window else 0)
     last = len(texts()) - 1
     assert len(by_doc[last]) == 2 * len({r["piece"] for r in by_doc[last]}) and len(by_doc[None]) >= 1
 
 
 def test_the_order_of_the_input_takes_effect(spark, tmp_path):
-    """Pieces of a length, and sequences, follow the rows as they were written, also where file sizes would turn them round."""
+    """Sequences follow the rows as they were written, also where file sizes would turn them round."""
     words = ["a b c d", "e f g h " * 3, "i j k l " * 5]
     rows = [(i, words[i * 7 % 3].strip()) for i in range(300)]
     r = random.Random(1)
     for given in (rows, rows[::-1], r.sample(rows, len(rows))):
         folder = f"{tmp_path}/{given[0][0]}"
         docs = spark.createDataFrame([(n, *row, "x" * n * n) for n, row in enumerate(given)], "n int, doc_id long, text string, more string")
-        docs.repartitionByRange(5, "n").sortWithinPartitions("n").write.parquet(folder)
-        found = packing.pack(spark.read.parquet(folder), PATH, 21).collect()
+        docs.repartitionByRange(5, "n").sortWithinPartitions("n").write.option("maxRecordsPerFile", 17).parquet(folder)
+        found = packing.pack(spark.read.parquet(folder), PATH, 21, window=20).collect()
         place = {i: n for n, (i, _) in enumerate(given)}
-        by_length, longest = defaultdict(list), {}
-        for x in sorted(found, key=lambda x: (-x["length"], place[x["doc_id"]])):
-            by_length[x["length"]].append((x["sequence_id"], x["offset"]))
-            longest.setdefault(x["sequence_id"], place[x["doc_id"]])
-        assert len(found) == len(rows) and sorted(longest) == list(range(len(longest)))
-        assert all(v == sorted(v) for k, v in by_length.items() if k == max(by_length))
-        assert [longest[s] for s in sorted(longest)] == sorted(longest.values())
+        held = defaultdict(list)
+        for x in found:
+            held[x["sequence_id"]].append(place[x["doc_id"]])
+        assert len(found) == len(rows)
+        # A sequence has neighbours only, and sequences come by the first row that they hold in each window.
+        assert all(min(v) // 20 == max(v) // 20 for v in held.values())
+        firsts = [min(held[s]) for s in sorted(held)]
+        assert firsts == sorted(firsts)
 
 
 def test_empty(spark):

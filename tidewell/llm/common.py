@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from tidewell.functions.binding import let
 from tidewell.storage import materialise
 
-__all__ = ["in_order", "let", "map_slices", "materialise", "positions", "ranked", "shuffle_partitions"]
+__all__ = ["ORDER", "in_order", "let", "map_slices", "materialise", "numbered", "positions", "ranked", "shuffle_partitions"]
 
 #: White space as the operators' contracts define it: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -56,41 +56,59 @@ def shuffle_partitions(spark: SparkSession) -> int:
 ROW_BITS = 33
 
 
-def in_order(df: DataFrame, file: str, row: str) -> DataFrame:
-    """``df`` with two columns by which its rows sort as they were written: the path of the Parquet file and the row in it.
+#: The columns by which ``in_order`` sorts.
+ORDER = ["_part", "_file", "_row"]
 
-    Spark reads files in the order of their sizes, but it names them by partition. Of a table that is
-    not read from Parquet files, the order is that of its partitions and the path is empty.
+
+def in_order(df: DataFrame) -> DataFrame:
+    """``df`` with ORDER, three longs by which its rows sort as they were written: the number in the name of the
+    Parquet file, the hash of its path and the row in it.
+
+    Spark reads files in the order of their sizes, but it numbers them by partition. Files with other names
+    come by the hash. Of a table that is not read from Parquet files, the order is that of its partitions.
     """
-    meta = {file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")}
+    path = F.col("_metadata.file_path")
+    number = lambda pattern: F.coalesce(F.regexp_extract(path, pattern, 1).try_cast("long"), F.lit(0).cast("long"))
+    # A task may write several files, which count on in the name.
+    part = number(r"/part-(\d+)[^/]*$") * (1 << 20) + number(r"-c(\d+)[^/-]*$")
     try:
-        found = df.withColumns(meta)
+        found = df.withColumns({"_part": part, "_file": F.xxhash64(path), "_row": F.col("_metadata.row_index")})
         found.schema  # noqa: B018
         return found
     except AnalysisException:
-        return df.withColumns({file: F.lit(""), row: F.monotonically_increasing_id()})
+        none = F.lit(0).cast("long")
+        return df.withColumns({"_part": none, "_file": none, "_row": F.monotonically_increasing_id()})
 
 
 def positions(df: DataFrame, order: list[str], at: str) -> DataFrame:
-    """``df`` with a number that rises along ``order``, for ``ranked``. Materialise it: a second run may number anew."""
+    """``df`` with a number that rises along ``order``, for ``numbered``. Materialise it: a second run may number anew."""
     dealt = df.repartitionByRange(4 * shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
     return dealt.withColumn(at, F.monotonically_increasing_id())
 
 
-def ranked(df: DataFrame, key: str, ident: list[str], rank: str, at: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, at: str, to: str) -> DataFrame:
+    """``df`` with ``to``, the ``positions`` in ``at`` without gaps. One task meets a row for each of their ranges, no more."""
+    part = F.shiftright(at, ROW_BITS)
+    sizes = df.groupBy(part.alias("_key")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_key", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    found = df.join(sizes, part == F.col("_key"))
+    return found.withColumn(to, F.col("_before") + F.col(at).bitwiseAND((1 << ROW_BITS) - 1)).drop("_key", "_before", at)
+
+
+def ranked(df: DataFrame, key: str, ident: list[str], rank: str) -> DataFrame:
     """Number the rows of each key from 0, in column ``rank``, in an order that
-    depends on the ids alone, or along the ``positions`` in column ``at``.
+    depends on the ids alone.
 
-    No task gets the whole of a key: its rows are dealt by a hash of ``ident``, or by
-    the range that their position lies in, into buckets, numbered inside their bucket and
+    No task gets the whole of a key: its rows are dealt by a hash of ``ident`` into
+    buckets, numbered inside their bucket and
     moved up by the rows of the buckets before. A key has four buckets for each shuffle
     partition, so a key with a third of all rows spreads over all tasks, and the table of
     bucket sizes has a bounded number of rows a key.
     """
     buckets = 4 * shuffle_partitions(df.sparkSession)
-    mixed = df.withColumn("_mix", F.xxhash64(*ident) if at is None else F.col(at))
-    bucket = F.pmod("_mix", F.lit(buckets)) if at is None else F.shiftright("_mix", ROW_BITS)
-    mixed = mixed.withColumn("_bucket", bucket.cast("int"))
+    mixed = df.withColumn("_mix", F.xxhash64(*ident))
+    mixed = mixed.withColumn("_bucket", F.pmod("_mix", F.lit(buckets)).cast("int"))
     inside = Window.partitionBy(key, "_bucket").orderBy("_mix", *ident)
     numbered = mixed.withColumn("_inside", F.row_number().over(inside) - 1)
     sizes = mixed.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_size"))

@@ -8,13 +8,13 @@ the histogram holds it. The plan is a list of such combinations. A piece finds
 its place in it by its rank among the pieces of its length, so no task ever
 sees more than its own rows.
 
-The order of the documents takes effect: the pieces of a length are ranked as
-their documents stand in the input, and sequences are numbered as the documents
-of their longest pieces stand in it. Both are kept from the files that the
-input was written to, or else from its partitions.
+The order of the documents takes effect where a window is given: then the pieces of so many
+neighbours in the input are packed by themselves, with a plan of their own, and sequences are numbered along the
+input. A sequence holds pieces of one window only.
 
 Null and empty texts become a piece with the end id alone. Repeated rows are
-packed each. An empty table gives no rows.
+packed each, and rows without a doc_id too. Texts of any length are cut whole. An empty table gives no rows.
+Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import in_order, map_slices, materialise, positions, ranked
+from tidewell.llm.common import ORDER, in_order, map_slices, materialise, numbered, positions, ranked
 
 #: A text of nothing but these can be lower-cased and cut by the standard library's
 #: expressions just as the tokenizer does it: ASCII without most controls, and
@@ -94,13 +95,9 @@ SCHEMA = pa.schema(
     ]
 )
 DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Where a piece's document stands in the input.
-PLACED = pa.schema([*SCHEMA, ("_file", pa.string()), ("_row", pa.int64())])
-PLACED_DDL = DDL + ", _file string, _row long"
-
-
-def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Tokenize, end each document with ``end_id`` and cut what is longer than ``capacity``. Keeps the place of the document."""
+def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """Tokenize, end each document with ``end_id`` and cut what is longer than ``capacity``. Keeps further columns, of longs."""
+    schema = pa.schema([*SCHEMA, *((c, pa.int64()) for c in keep)])
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def make():
@@ -109,20 +106,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
         encode = _ENCODERS[path].encode
 
         def apply(rows: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {n: [] for n in PLACED.names}
-            for doc_id, text, file, at_row in zip(*(rows[n] for n in ("doc_id", "text", "_file", "_row")), strict=True):
+            out: dict[str, list] = {n: [] for n in schema.names}
+            for doc_id, text, *place in zip(*(rows[n] for n in ("doc_id", "text", *keep)), strict=True):
                 ids = encode(text or "") + end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    row = (doc_id, i, at // 4, len(part) // 4, zlib.crc32(part), file, at_row)
-                    for n, v in zip(PLACED.names, row, strict=True):
+                    row = (doc_id, i, at // 4, len(part) // 4, zlib.crc32(part), *place)
+                    for n, v in zip(schema.names, row, strict=True):
                         out[n].append(v)
             return out
 
         return apply
 
-    placed = in_order(docs, "_file", "_row").select(F.col("doc_id").cast("long"), "text", "_file", "_row")
-    return map_slices(placed, make, PLACED, PLACED_DDL)
+    slim = docs.select(F.col("doc_id").cast("long"), "text", *keep)
+    return map_slices(slim, make, schema, DDL + "".join(f", {c} long" for c in keep))
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -198,42 +195,59 @@ def places(combinations: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
 
 
-BINNED = pa.schema([*SCHEMA, ("_position", pa.int64()), ("_bin", pa.int64()), ("offset", pa.int64())])
-BINNED_DDL = DDL + ", _position long, _bin long, offset long"
+def located(table: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bin and the offset of each piece, by its length and its rank among the pieces of that length."""
+    keys, bins, uses, offsets = table.T
+    at = np.searchsorted(keys, length * RANKS + rank, side="right") - 1
+    nth = length * RANKS + rank - keys[at]
+    return bins[at] + nth // uses[at], offsets[at] + nth % uses[at] * length
+
 
+OUT = pa.schema([*SCHEMA, ("sequence_id", pa.int64()), ("offset", pa.int64())])
+OUT_DDL = DDL + ", sequence_id long, offset long"
 
-def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+
+def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, window: int | None = None) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    The pieces of a sequence lie behind one another from offset 0 without gaps.
+    The pieces of a sequence lie behind one another from offset 0 without gaps. With a ``window``, each
+    ``window`` pieces that follow one another in the input fill sequences of their own.
     """
-    cut = materialise(pieces(docs, path, capacity, end_id), "pieces")
-    # Numbered once and stored, so that every later step sees the same positions.
-    cut = materialise(positions(cut, ["_file", "_row", "piece"], "_position").drop("_file", "_row"), "positions")
+    if window is None:
+        return packed(materialise(pieces(docs, path, capacity, end_id), "pieces"), capacity)
+    return packed_in_windows(materialise(pieces(in_order(docs), path, capacity, end_id, ORDER), "pieces"), capacity, window)
+
+
+def packed(cut: DataFrame, capacity: int) -> DataFrame:
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
-    table = docs.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
+    table = cut.sparkSession.sparkContext.broadcast(places(plan(counts, capacity)))
 
     def make():
-        keys, bins, uses, offsets = table.value.T.copy()
-
         def apply(rows: dict[str, list]) -> dict[str, list]:
-            length = np.array(rows["length"], dtype=np.int64)
-            at = np.searchsorted(keys, length * RANKS + np.array(rows["rank"], dtype=np.int64), side="right") - 1
-            nth = length * RANKS + np.array(rows.pop("rank"), dtype=np.int64) - keys[at]
-            return rows | {
-                "_bin": bins[at] + nth // uses[at],
-                "offset": offsets[at] + nth % uses[at] * length,
-            }
+            length, rank = (np.array(rows[n], dtype=np.int64) for n in ("length", "rank"))
+            bins, offsets = located(table.value, length, rank)
+            return {n: rows[n] for n in SCHEMA.names} | {"sequence_id": bins, "offset": offsets}
 
         return apply
 
-    binned = map_slices(ranked(cut, "length", ["doc_id", "piece"], "rank", "_position"), make, BINNED, BINNED_DDL)
-    return numbered(materialise(binned, "bins"))
+    return map_slices(ranked(cut, "length", ["doc_id", "piece"], "rank"), make, OUT, OUT_DDL)
 
 
-def numbered(binned: DataFrame) -> DataFrame:
-    """The pieces of bins with ``sequence_id``, which rises along the positions of the bins' longest pieces."""
-    longest = F.min(F.struct((-F.col("length")).alias("length"), "_position"))["_position"]
-    bins = binned.groupBy("_bin").agg(longest.alias("_position")).withColumn("_all", F.lit(0))
-    bins = ranked(bins, "_all", ["_bin"], "sequence_id", "_position").select(F.col("_bin").alias("_of"), "sequence_id")
-    return binned.join(bins, F.col("_bin") == F.col("_of")).select(*SCHEMA.names, "sequence_id", "offset")
+def packed_in_windows(cut: DataFrame, capacity: int, window: int) -> DataFrame:
+    """The same for windows of the input: each has at most ``window`` rows, so a group is bounded."""
+    # Numbered once and stored, so that every later step sees the same positions.
+    cut = materialise(positions(cut, [*ORDER, "piece"], "_at").drop(*ORDER), "positions")
+    placed = numbered(cut, "_at", "_position").withColumn("_window", F.expr(f"_position div {window}"))
+
+    def fill(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values("_position")
+        rank = pieces.groupby("length").cumcount().to_numpy()
+        table = places(plan(pieces["length"].value_counts().to_dict(), capacity))
+        bins, offsets = located(table, pieces["length"].to_numpy(), rank)
+        # Sequences come by the first of their pieces.
+        _, first, nth = np.unique(bins, return_index=True, return_inverse=True)
+        along = np.argsort(np.argsort(first))[nth]
+        out = pieces[SCHEMA.names]
+        return out.assign(sequence_id=pieces["_window"].to_numpy() * window + along, offset=offsets)
+
+    return placed.groupBy("_window").applyInPandas(fill, OUT_DDL)
