@@ -15,6 +15,9 @@ from tidewell.llm import line_dedup, mixing, packing, quality_rules, simhash
 from tidewell.llm.common import materialise
 from tidewell.llm.queries import CAPACITY, WEIGHTS, WORD_BPE, documents, tokenizer
 
+#: Pieces of the mix that are packed together.
+WINDOW = 4096
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -39,8 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    return packing.pack(docs, tokenizer(WORD_BPE), CAPACITY)
+    """Pieces of token sequences, each filled from neighbours in the mix."""
+    return packing.pack(docs, tokenizer(WORD_BPE), CAPACITY, window=WINDOW)
 
 
 STAGES: list[tuple[str, Stage]] = [
