@@ -32,6 +32,26 @@ def test_emoji_number():
     assert codecs.emoji_number("👩🏻‍🤝‍👩🏿") == 0x07D1A7747240B0D0
 
 
+def test_emoji_are_read_back():
+    read = codecs.EmojiReader(["👩‍🤝‍👩", "🏴‍☠️"])
+    for emoji in ("👩🏻‍🤝‍👩🏿", "🏴‍☠️", "🇺🇸", "1️⃣", "#⃣", "🏴󠁧󠁢󠁥󠁮󠁧󠁿", "👍🏽", "🤙", "+"):
+        assert read(codecs.emoji_number(emoji)) == emoji
+    assert read(codecs.emoji_number("👨‍👩‍👧")) is None and read(None) is None
+
+
+@given(st.sampled_from(["", "1m", "7u", "30n", "20p"]), st.integers(0, 2**35 - 1), st.text(max_size=40), st.integers(0, 2**35 - 1))
+def test_invoices_round_trip(amount, timestamp, description, expiry):
+    found = codecs.decode_invoice(codecs.encode_invoice(amount, timestamp, description, expiry))
+    msats = {"": None, "1m": 100_000_000, "7u": 700_000, "30n": 3000, "20p": 2}[amount]
+    assert (found["amount_msat"], found["timestamp"], found["description"], found["expiry"]) == (msats, timestamp, description, expiry)
+
+
+@given(st.integers(1, crypto.N - 1))
+def test_multiples_of_points(k):
+    assert crypto.affine(crypto.times_generator(k)) == crypto.affine(crypto.times(k, crypto.G))
+    assert crypto.affine(crypto.add(crypto.times(k, crypto.G), crypto.times(crypto.N - k, crypto.G))) is None
+
+
 @given(st.binary(min_size=32, max_size=32))
 def test_entities_round_trip(key):
     assert codecs.entity(codecs.bech32_encode("npub", key))["pubkey"] == key.hex()
@@ -137,8 +157,8 @@ def test_tags(spark):
 
 
 def test_reactions_and_words(spark):
-    df = spark.createDataFrame([("+",), ("hello",), ("hello world",), ("👩🏻‍🤝‍👩🏿",), ("",), ("🤙",)], "c string")
-    assert [r[0] for r in df.select(text.reaction(F.col("c"))).collect()] == ["+", "hello", "+", "👩🏻‍🤝‍👩🏿", "", "🤙"]
+    df = spark.createDataFrame([("+",), ("hello",), ("hello world",), ("👩🏻‍🤝‍👩🏿",), ("",), ("🤙",), ("🇺🇸",), ("1️⃣",), ("🏴󠁧󠁢󠁥󠁮󠁧󠁿",), ("🇺🇸🇺🇸",), ("🤙🤙",)], "c string")
+    assert [r[0] for r in df.select(text.reaction(F.col("c"))).collect()] == ["+", "hello", "+", "👩🏻‍🤝‍👩🏿", "", "🤙", "🇺🇸", "1️⃣", "🏴󠁧󠁢󠁥󠁮󠁧󠁿", "+", "+"]
     df = spark.createDataFrame([("hello world",), (" a  b",), ("",)], "c string")
     assert [r[0] for r in df.select(text.word_count(F.col("c"))).collect()] == [1, 2, 0]
     df = spark.createDataFrame([("It’s A_b, ÉTÉ—x",)], "c string")

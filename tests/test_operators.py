@@ -134,7 +134,7 @@ def test_stored_stream_has_each_id_once(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame([(f"x{i}",), ("same",)], "id string").coalesce(1).write.mode("append").parquet(str(folder))
     stream = spark.readStream.schema("id string").option("maxFilesPerTrigger", 1).parquet(str(folder))
-    live.run_once(stream, live.store(stream, str(tmp_path / "out")), "stored")
+    live.store(stream, str(tmp_path / "out"))
     assert sorted(r["id"] for r in live.stored(spark, str(tmp_path / "out"), stream.schema).collect()) == ["same", "x0", "x1", "x2"]
 
 
@@ -189,7 +189,7 @@ def test_lines_as_a_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text(json.dumps(["EVENT", "s", signed(content="streamed")]) + "\n{bad\n")
     parsed = events.parse(events.envelopes(live.line_stream(spark, str(tmp_path / "in"))))
-    live.run_once(parsed, live.store(parsed, str(tmp_path / "out")), "lines")
+    live.store(parsed, str(tmp_path / "out"))
     assert [r["content"] for r in live.stored(spark, str(tmp_path / "out"), parsed.schema).collect()] == ["streamed"]
 
 
@@ -217,3 +217,69 @@ def test_replaceable_kinds(spark):
     made = [(0, "p", 1, []), (0, "p", 2, []), (30023, "p", 1, [["d", "x"]]), (30023, "p", 2, [["d", "y"]]), (30023, "p", 3, [["d", "x"]]), (1, "p", 1, [])]
     rows = [(i, str(i), p, at, k, "", t) for i, (k, p, at, t) in enumerate(made)]
     assert sorted(r["note_key"] for r in tables.latest_versions(notes_of(spark, rows)).collect()) == [1, 3, 4, 5]
+
+
+def test_latest_sorts_nothing(spark):
+    rows = [(i, f"i{i}", f"p{i % 7}", i // 3, 1, "", []) for i in range(300)]
+    newest = tables.latest(notes_of(spark, rows), "pubkey")
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+    best = {}
+    for r in sorted(rows, key=lambda r: (r[3], r[0])):
+        best[r[2]] = r[0]
+    assert {r["pubkey"]: r["note_key"] for r in newest.collect()} == best
+
+
+@pytest.mark.parametrize("span", [1, 7, 10_000])
+def test_as_of_with_a_hot_key(spark, span):
+    """One key has nine rows in ten; its windows are cut by time."""
+    import random
+
+    r = random.Random(span)
+    key = lambda: "hot" if r.random() < 0.9 else f"k{r.randrange(5)}"
+    left = [(i, key(), r.randrange(200)) for i in range(400)]
+    right = {(key(), r.randrange(200)): r.choice([None, "a", "b", "c"]) for _ in range(60)}
+    a = spark.createDataFrame(left, "n int, pubkey string, created_at long")
+    b = spark.createDataFrame([(k, t, v) for (k, t), v in right.items()], "pubkey string, created_at long, name string")
+    wanted = {}
+    for n, k, at in left:
+        known = [(t, v) for (of, t), v in right.items() if of == k and t <= at and v is not None]
+        wanted[n] = max(known)[1] if known else None
+    found = tables.as_of(a, b, "pubkey", "name", span)
+    assert {x["n"]: x["name"] for x in found.collect()} == wanted
+
+
+def test_names_in_lines_that_come_from_a_shuffle(spark):
+    names = spark.createDataFrame([(f"{i:064x}", f"name{i}") for i in range(20)], "pubkey string, name string")
+    lines = spark.range(200).repartition(7).selectExpr("id", "concat('by ', lpad(hex(id % 25), 64, '0'), ' ', id) AS line")
+    wanted = {i: f"by {f'name{i % 25}' if i % 25 < 20 else format(i % 25, '064X')} {i}" for i in range(200)}
+    for key in ("id", None):
+        assert {r["id"]: r["line"] for r in tables.resolve_pubkeys(lines, "line", names, key).collect()} == wanted
+
+
+def test_counters_of_many_batches(spark, tmp_path):
+    """Batches are folded into sums now and then, and a batch that is run again counts once."""
+    rows = [(i, f"{i:064x}", "p", i, 7, "+" if i % 3 else "🇺🇸", [["e", "c" * 64]]) for i in range(12)]
+    for i in range(6):
+        notes_of(spark, rows[2 * i : 2 * i + 2]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = live.file_stream(spark, str(tmp_path / "in"), "*.parquet", notes_of(spark, rows).schema, files_per_batch=1)
+    path = str(tmp_path / "counts")
+    live.count(stream, path, fold=3)
+    assert live.counted(spark, path).first()["total_reactions"] == 12
+    assert {r["reaction"]: r["n"] for r in live.counted_reactions(spark, path).collect()} == {"+": 8, "🇺🇸": 4}
+    read = live.parts(spark, path).select("batch").distinct().count()
+    assert read <= 3
+
+
+def test_polls_go_on_where_they_ended(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    rows = [(i, f"i{i}", "p", 1, 1, "", []) for i in range(10)]
+    notes_of(spark, rows[:1]).coalesce(1).write.parquet(folder)
+    subs = live.Subscriptions(spark, live.file_stream(spark, folder, "*.parquet", notes_of(spark, rows).schema))
+    number = subs.subscribe([Filter(kinds=[1])])
+    assert [r["note_key"] for r in subs.wait(number)] == [0]
+    notes_of(spark, rows[1:]).coalesce(1).write.mode("append").parquet(folder)
+    subs.running[number][0].processAllAvailable()
+    polled = [[r["note_key"] for r in subs.poll(number, 4)] for _ in range(4)]
+    assert polled == [[1, 2, 3, 4], [5, 6, 7, 8], [9], []]
+    subs.unsubscribe(number)

@@ -108,7 +108,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> Iterable[str]:
         yield from told(tables.kind_statistics(notes).orderBy("kind_name"))
     elif a.command == "resolve-pubkeys":
         lines = spark.createDataFrame([(i, x.rstrip("\n")) for i, x in enumerate(sys.stdin)], "n long, line string")
-        yield from told(tables.resolve_pubkeys(lines, "line", tables.best_names(notes)).orderBy("n").select("line"))
+        yield from told(tables.resolve_pubkeys(lines, "line", tables.best_names(notes), "n").orderBy("n").select("line"))
     else:
         made = {
             "kinds": lambda: notes.select("kind", "created_at", "note_key").orderBy("kind", "created_at"),

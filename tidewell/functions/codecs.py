@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -47,7 +48,10 @@ def bech32_decode(text: str) -> tuple[str, list[int]] | None:
 
 
 def bech32_encode(prefix: str, data: bytes) -> str:
-    digits = regroup(data, 8, 5, pad=True) or []
+    return bech32_text(prefix, regroup(data, 8, 5, pad=True) or [])
+
+
+def bech32_text(prefix: str, digits: list[int]) -> str:
     sum_ = checksum(expanded(prefix) + digits + [0] * 6) ^ CONSTANTS[0]
     return prefix + "1" + "".join(DIGITS[d] for d in digits + [sum_ >> 5 * (5 - i) & 31 for i in range(6)])
 
@@ -159,6 +163,19 @@ def decode_invoice(text: str | None) -> dict[str, Any] | None:
     return out if out["description"] is not None or out["description_hash"] else None
 
 
+def five_bit_digits(value: int, n: int) -> list[int]:
+    return [value >> 5 * i & 31 for i in range(n - 1, -1, -1)]
+
+
+def encode_invoice(amount: str, timestamp: int, description: str, expiry: int = EXPIRY) -> str:
+    """A payment request with zeros for a signature, which no decoder here checks. ``amount`` has its letter, or is empty."""
+    told = regroup(description.encode(), 8, 5, pad=True) or []
+    digits = five_bit_digits(timestamp, 7)
+    for tag, value in (("d", told), ("x", five_bit_digits(expiry, 7))):
+        digits += [VALUES[tag], *five_bit_digits(len(value), 2), *value]
+    return bech32_text("lnbc" + amount, digits + [0] * 104)
+
+
 def struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
@@ -209,13 +226,17 @@ def crc_of(points: list[int]) -> int:
     return crc
 
 
+def base_points(text: str) -> list[int]:
+    """The code points without tones and joiners."""
+    return [ord(c) for c in text if ord(c) not in TONES and ord(c) != JOINER]
+
+
 def emoji_number(text: str | None) -> int | None:
     """The number of an emoji sequence."""
     if not text:
         return None
-    points = [ord(c) for c in text]
-    tones = [p - TONES.start + 1 for p in points if p in TONES][:2]
-    base = [p for p in points if p not in TONES and p != JOINER]
+    tones = [ord(c) - TONES.start + 1 for c in text if ord(c) in TONES][:2]
+    base = base_points(text)
     out = (base[0] if base else 0) << POINT_SHIFT | crc_of(base[1:17]) << HASH_SHIFT
     for tone, shift in zip(tones, TONE_SHIFTS, strict=False):
         out |= tone << shift
@@ -225,3 +246,61 @@ def emoji_number(text: str | None) -> int | None:
 def emoji_key(text: Column) -> Column:
     """The number of an emoji as 16 hexadecimal digits; it may need all 64 bits."""
     return mapped(lambda v: None if (n := emoji_number(v)) is None else f"{n:016X}", T.StringType())(text)
+
+
+#: Letters of country flags, what a keycap stands on, and what ends a region spelt in tag characters. Fixed values.
+FLAG_LETTERS, KEYS, TAGS, TAGS_END = range(0x1F1E6, 0x1F200), "0123456789#*", range(0xE0020, 0xE007F), 0xE007F
+BLACK_FLAG, WHOLE, KEYCAP = 0x1F3F4, 0xFE0F, 0x20E3
+#: Regions with a flag of their own. Fixed values.
+REGIONS = ("gbeng", "gbsct", "gbwls")
+
+
+def flags_and_keycaps() -> Iterator[str]:
+    """Emoji of several characters that follow from a rule."""
+    for a in FLAG_LETTERS:
+        for b in FLAG_LETTERS:
+            yield chr(a) + chr(b)
+    for c in KEYS:
+        yield c + chr(KEYCAP)
+        yield c + chr(WHOLE) + chr(KEYCAP)
+    for region in REGIONS:
+        yield chr(BLACK_FLAG) + "".join(chr(TAGS.start - 0x20 + ord(c)) for c in region) + chr(TAGS_END)
+
+
+class EmojiReader:
+    """Emoji from their numbers. A number has the first character and the tones; the rest is found by its hash among
+    what follows from a rule and the sequences that the caller knows."""
+
+    def __init__(self, known: Iterable[str] = ()):
+        self.rest: dict[int, list[int]] = {}
+        for text in (*flags_and_keycaps(), *known):
+            points = base_points(text)
+            self.rest[crc_of(points[1:17])] = points[1:17]
+
+    def __call__(self, number: int | None) -> str | None:
+        """The emoji, or None if its rest isn't known."""
+        if number is None:
+            return None
+        first, told = number >> POINT_SHIFT, number >> HASH_SHIFT & 0xFFFFFFFF
+        if told and told not in self.rest:
+            return None
+        rest = self.rest[told] if told else []
+        tones = [chr(TONES.start + t - 1) for s in TONE_SHIFTS if (t := number >> s & 7)]
+        out = chr(first) + "".join(tones[:1])
+        tied = first not in FLAG_LETTERS and not (first == BLACK_FLAG and rest and rest[0] in TAGS)
+        for p in rest:
+            out += (chr(JOINER) if tied and p not in (WHOLE, KEYCAP) else "") + chr(p)
+        return out + "".join(tones[1:])
+
+
+def emoji_text(key: Column, known: Iterable[str] = ()) -> Column:
+    """The emoji of a number of 16 hexadecimal digits."""
+    held: list[EmojiReader] = []
+    sequences = tuple(known)
+
+    def read(value: str | None) -> str | None:
+        if not held:
+            held.append(EmojiReader(sequences))
+        return held[0](int(value, 16)) if value else None
+
+    return mapped(read, T.StringType())(key)

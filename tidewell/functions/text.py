@@ -15,10 +15,11 @@ SEPARATORS = (
 )
 #: Bytes that a reaction may have if it isn't a single character.
 MOST_REACTION_BYTES = 6
-#: One emoji: a character with modifiers, or several tied by U+200D.
+#: One emoji: a character with modifiers, or several tied by U+200D; two letters of a country's flag; a keycap; a flag
+#: whose region is spelt in tag characters.
 EMOJI = (
-    r"^(?:\p{So}|\p{Sk}|[\x{1F000}-\x{1FAFF}])[\x{FE0F}\x{1F3FB}-\x{1F3FF}\x{20E3}]*"
-    r"(?:\x{200D}(?:\p{So}|[\x{1F000}-\x{1FAFF}\x{2640}\x{2642}])[\x{FE0F}\x{1F3FB}-\x{1F3FF}]*)*$"
+    r"^(?:[\x{1F1E6}-\x{1F1FF}]{2}|[0-9#*]\x{FE0F}?\x{20E3}|\x{1F3F4}[\x{E0020}-\x{E007E}]+\x{E007F})\z|^(?:\p{So}|\p{Sk}|[\x{1F000}-\x{1FAFF}])[\x{FE0F}\x{1F3FB}-\x{1F3FF}\x{20E3}]*"
+    r"(?:\x{200D}(?:\p{So}|[\x{1F000}-\x{1FAFF}\x{2640}\x{2642}])[\x{FE0F}\x{1F3FB}-\x{1F3FF}]*)*\z"
 )
 
 

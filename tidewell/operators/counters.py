@@ -113,6 +113,22 @@ def zaps(notes: DataFrame, verified: DataFrame | None = None, msats: Column | No
     )
 
 
+#: Types of tidy counters beside COUNTS.
+REACTION, ZAP = "reaction", "zap"
+
+
+def tidy(notes: DataFrame, msats: Column | None = None) -> DataFrame:
+    """note_id, type, payload, n, msats of all that a batch of notes adds, reactions by their key and zaps among it."""
+    none = F.lit(0).cast("long").alias("msats")
+    tall = pointed(notes).select("note_id", F.col("counter").alias("type"), F.lit("").alias("payload"), none)
+    by_string = notes.where(F.col("kind") == REACTION_KIND).select(
+        t.last_id(F.col("tags"), "e").alias("note_id"), F.lit(REACTION).alias("type"), text.reaction(F.col("content")).alias("payload"), none
+    )
+    paid = zap_rows(notes, msats).select("note_id", F.lit(ZAP).alias("type"), F.lit("").alias("payload"), F.col("msats").cast("long"))
+    both = tall.unionByName(by_string).unionByName(paid).where("note_id IS NOT NULL")
+    return both.groupBy("note_id", "type", "payload").agg(F.count(F.lit(1)).alias("n"), F.sum("msats").alias("msats"))
+
+
 def metadata(notes: DataFrame, custom: DataFrame | None = None) -> DataFrame:
     """A tidy table of all that is counted: note_id, type, payload, n. ``custom`` adds rows of types of the user's own."""
     tall = counts(notes).unpivot("note_id", COUNTS, "type", "n").where("n > 0")

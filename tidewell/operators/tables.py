@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewell.functions import tags, text
 from tidewell.schema import KIND_NAMES, PROFILE, PROFILE_KIND, TEXT_KINDS, is_id, is_replaceable
+from tidewell.storage import materialise
 
 
 def tag_rows(notes: DataFrame) -> DataFrame:
@@ -28,10 +29,21 @@ def by_key(notes: DataFrame, note_key: int) -> DataFrame:
     return notes.where(F.col("note_key") == note_key)
 
 
+#: Times and keys in one number: keys have 64 bits.
+KEYS = "18446744073709551616"
+
+
+def newest_keys(notes: DataFrame, *keys: Column) -> DataFrame:
+    """note_key of the newest note of each value of ``keys``. Time and key are one number, which a hash aggregate can hold."""
+    at = F.col("created_at").cast("decimal(38,0)") * F.expr(f"CAST({KEYS} AS DECIMAL(20,0))") + F.col("note_key")
+    found = notes.groupBy(*(k.alias(f"_{i}") for i, k in enumerate(keys))).agg(F.max(at).alias("_at"))
+    return found.select(F.expr(f"CAST(_at % CAST({KEYS} AS DECIMAL(20,0)) AS BIGINT)").alias("note_key"))
+
+
 def latest(notes: DataFrame, key: str) -> DataFrame:
-    """The newest note of each value of ``key``: an aggregate of the whole row, so nothing is sorted."""
-    row = F.max_by(F.struct(*notes.columns), F.struct("created_at", "note_key")).alias("_row")
-    return notes.groupBy(F.col(key).alias("_key")).agg(row).select("_row.*")
+    """The newest note of each value of ``key``. Three columns are aggregated, and the rows of the keys found are
+    taken by a hash join: no row is sorted. ``note_key`` is unique."""
+    return notes.join(newest_keys(notes, F.col(key)).hint("shuffle_hash"), "note_key", "left_semi").select(notes.columns)
 
 
 def latest_before(notes: DataFrame, key: str, until: int) -> DataFrame:
@@ -39,16 +51,30 @@ def latest_before(notes: DataFrame, key: str, until: int) -> DataFrame:
     return latest(notes.where(F.col("created_at") < until), key)
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
-    """``left`` with ``value`` of the last row of ``right`` of its key that isn't newer.
+#: Seconds of a span of time that is searched by itself.
+SPAN = 3600
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, value: str, span: int = SPAN) -> DataFrame:
+    """``left`` with ``value`` of the last row of ``right`` of its key that isn't newer and has one.
 
-    The rows of both go through one sorted window, so a key's pairs are never formed.
+    The rows of both go through sorted windows, so a key's pairs are never formed. A window is a key's
+    ``span`` of seconds, so a key with most rows fills many: the last value of each span is carried into later
+    ones by a window over a row for each span.
     """
-    mine = left.select(key, "created_at", F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    theirs = right.select(key, "created_at", F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
+    at = F.expr(f"created_at div {span}").alias("_span")
+    known = right.where(F.col(value).isNotNull())
+    mine = left.select(key, "created_at", at, F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    theirs = known.select(key, "created_at", at, F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
+    lasts = known.groupBy(key, at).agg(F.max_by(value, "created_at").alias("_last"))
+    asked = left.select(key, at).distinct().withColumn("_last", F.lit(None).cast(right.schema[value].dataType))
+    spans = asked.unionByName(lasts).groupBy(key, "_span").agg(F.max("_last").alias("_last"))
+    before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(key, "_span", F.last("_last", ignorenulls=True).over(before).alias("_v")).where("_v IS NOT NULL")
+    carried = carried.select(key, F.lit(-1).cast("long").alias("created_at"), "_span", F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"), "_v")
     # At equal times the right side's rows come first.
-    order = Window.partitionBy(key).orderBy("created_at", F.col("_row").isNotNull())
-    both = mine.unionByName(theirs).withColumn("_last", F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = Window.partitionBy(key, "_span").orderBy("created_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = mine.unionByName(theirs).unionByName(carried).withColumn("_last", F.last("_v", ignorenulls=True).over(order))
     return both.where("_row IS NOT NULL").select("_row.*", F.col("_last").alias(value))
 
 
@@ -70,13 +96,14 @@ def best_names(notes: DataFrame) -> DataFrame:
     return latest_profiles(notes).select("pubkey", name.alias("name"))
 
 
-def resolve_pubkeys(lines: DataFrame, column: str, names: DataFrame) -> DataFrame:
+def resolve_pubkeys(lines: DataFrame, column: str, names: DataFrame, key: str | None = None) -> DataFrame:
     """``lines`` with the pubkeys in a text column replaced by their names, where they have any.
 
     The pubkeys that occur are met with their names in one join, whose result is
-    gathered by line: no table of names goes to each task.
+    gathered by line: no table of names goes to each task. ``key`` is a column that tells lines apart; without one
+    they are numbered and stored, as a number that is computed twice may differ.
     """
-    keyed = lines.withColumn("_line", F.monotonically_increasing_id())
+    keyed = lines.withColumn("_line", F.col(key)) if key else materialise(lines.withColumn("_line", F.monotonically_increasing_id()), "lines")
     found = F.array_distinct(F.regexp_extract_all(F.col(column), F.lit("([0-9a-fA-F]{64})"), F.lit(1)))
     hits = keyed.select("_line", F.explode(found).alias("raw")).withColumn("pubkey", F.lower("raw"))
     named = hits.join(names.where("name IS NOT NULL"), "pubkey")
@@ -114,9 +141,9 @@ def latest_versions(notes: DataFrame) -> DataFrame:
     named = F.when(kind >= 30_000, F.coalesce(tags.first_value(F.col("tags"), "d"), F.lit(""))).otherwise(F.lit(""))
     key = F.when(is_replaceable(kind), F.struct("pubkey", "kind", named.alias("d")))
     keyed = notes.withColumn("_key", key)
-    newest = F.max_by(F.struct(*notes.columns), F.struct("created_at", "note_key")).alias("_row")
-    replaced = keyed.where("_key IS NOT NULL").groupBy("_key").agg(newest).select("_row.*")
-    return keyed.where("_key IS NULL").drop("_key").unionByName(replaced)
+    versions = keyed.where("_key IS NOT NULL")
+    replaced = versions.join(newest_keys(versions, F.col("_key")).hint("shuffle_hash"), "note_key", "left_semi")
+    return keyed.where("_key IS NULL").unionByName(replaced).select(notes.columns)
 
 
 def promote(stored: DataFrame, rumors: DataFrame) -> DataFrame:

@@ -44,8 +44,13 @@ def newest(notes: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def found(notes: DataFrame, f: Filter, relays: DataFrame | None = None) -> DataFrame:
-    """Notes of one filter before order and limit, by the operator that its plan names."""
+    """Notes of one filter before order and limit, by the operator that its plan names.
+
+    Where that walks relays and kinds, a note comes once for each listed relay that it was seen on.
+    """
     plan = plan_name(f)
+    if plan == "relay_kinds" and relays is not None:
+        return seen_on_each(notes, f, relays)
     if plan == "profile_search":
         return search_operators.profile_notes(notes, f.search or "")
     out = matching(notes, f, relays)
@@ -55,7 +60,7 @@ def found(notes: DataFrame, f: Filter, relays: DataFrame | None = None) -> DataF
 
 
 def seen_on_each(notes: DataFrame, f: Filter, relays: DataFrame) -> DataFrame:
-    """Like :func:`found` for a filter on relays, a note once for each listed relay that it was seen on."""
+    """Notes of a filter on relays, each once for each listed relay that it was seen on."""
     bare = Filter(**{n: getattr(f, n) for n in ("ids", "authors", "kinds", "tags", "since", "until", "custom")})
     listed = relays.where(F.col("relay").isin(list(f.relays or ()))).select("note_key")
     return matching(notes, bare).join(listed, "note_key")

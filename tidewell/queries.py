@@ -6,14 +6,14 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions import codecs, content, crypto, tags, text
 from tidewell.operators import counters, maintenance, search, tables
 from tidewell.plans.filters import Filter, group_predicate, matching
-from tidewell.plans.query import fold, newest, query, seen_on_each
+from tidewell.plans.query import fold, plan_name, query, visit
 from tidewell.sources import adapt, events
 from tidewell.storage import fresh_path, materialise
 from tidewell.streaming import live
@@ -140,7 +140,7 @@ def plan_all_notes(n: DataFrame) -> DataFrame:
     WITH_RELAYS,
 )
 def plan_relay_kinds(n: DataFrame) -> DataFrame:
-    return newest(seen_on_each(n, Filter(kinds=[1, 7], relays=RELAYS), adapt.relays(n)), 60).select(ROW)
+    return query(n, Filter(kinds=[1, 7], relays=RELAYS, limit=60), adapt.relays(n)).select(ROW)
 
 
 BOTH = [Filter(kinds=[1], limit=30), Filter(tags={"t": ["7", "8"]}, limit=30)]
@@ -368,12 +368,14 @@ def word_count(n: DataFrame) -> DataFrame:
 def resolve_pubkeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = adapt.notes(spark, sf_dir)
     lines = n.select("note_key", F.concat(F.lit("from "), "pubkey", F.lit(" in "), F.col("kind").cast("string")).alias("line"))
-    return tables.resolve_pubkeys(lines, "line", tables.best_names(n))
+    return tables.resolve_pubkeys(lines, "line", tables.best_names(n), "note_key")
 
 
 # Counters.
 
-REACTION_SQL = "CASE WHEN strlen(content) <= 6 OR length(content) = 1 THEN content ELSE '+' END"
+#: Strings alone that are no emoji have a limit of six bytes.
+STRINGS = ("+", "-", "a long reaction", "", "🇺🇸🇺🇸", "seven77")
+REACTION_SQL = f"CASE WHEN strlen(content) <= 6 OR content NOT IN ({listed(STRINGS)}) THEN content ELSE '+' END"
 LAST_E = "last(value ORDER BY pos) FILTER (tag = 'e')"
 FIRST_E = "first(value ORDER BY pos) FILTER (tag = 'e')"
 POINTED_SQL = (
@@ -552,15 +554,15 @@ def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.posexplode(blocks).alias("idx", "b")).select("page_id", "idx", "b.type", "b.text", "b.start", "b.len")
 
 
-@on_documents("document_blocks", "SELECT note_key, 'text' AS type, content AS text FROM notes WHERE content <> '' AND NOT regexp_matches(content, '#|https?:|lnbc')")
+# Documents without links, tags and mentions, as those of the test tables, are one text block each; SQL can say no more.
+@on_documents("document_blocks", "SELECT note_key, 'text' AS type, content AS text FROM notes WHERE content <> ''")
 def document_blocks(n: DataFrame) -> DataFrame:
-    plain = n.where(~F.col("content").rlike("#|https?:|lnbc"))
-    return tables.block_rows(plain).select("note_key", "type", "text")
+    return tables.block_rows(n).select("note_key", "type", "text")
 
 
 @on_documents("document_blocks_all")
 def document_blocks_all(n: DataFrame) -> DataFrame:
-    """The blocks of all documents. ``document_blocks`` is the part of them that its SQL can express."""
+    """The blocks of all documents with their places; ``content_parts`` has SQL for every type of block."""
     return tables.block_rows(n).select("note_key", "idx", "type", "text", "start", "len")
 
 
@@ -602,12 +604,226 @@ def envelope_of(note: dict) -> dict:
     return {"kind": crypto.WRAP, "pubkey": crypto.public_key(WRAPPER).hex(), "content": crypto.encrypt(key, told, nonce)}
 
 
+def enveloped(n: DataFrame) -> DataFrame:
+    put = codecs.mapped(envelope_of, codecs.struct(kind=T.LongType(), pubkey=T.StringType(), content=T.StringType()))
+    wrapped = n.select("note_key", "id", put(F.struct("id", "created_at", "kind", "tags", "content")).alias("e")).select("note_key", "id", "e.*")
+    return materialise(wrapped, "envelopes")
+
+
 @on_notes("envelope_unwrap")
 def envelope_unwrap(n: DataFrame) -> DataFrame:
-    put = codecs.mapped(envelope_of, codecs.struct(kind=T.LongType(), pubkey=T.StringType(), content=T.StringType()))
-    wrapped = n.select("id", put(F.struct("id", "created_at", "kind", "tags", "content")).alias("e")).select("id", "e.*")
-    wrapped = materialise(wrapped, "envelopes")
-    return crypto.unwrapped(wrapped, crypto.Keys((OWN,), (TEAM,))).select("id", "created_at", "content", "envelope_id", "flags")
+    return crypto.unwrapped(enveloped(n), crypto.Keys((OWN,), (TEAM,))).select("id", "created_at", "content", "envelope_id", "flags")
+
+
+SEALED_BY, MINE, OURS = crypto.public_key(SEALER).hex(), crypto.public_key(OWN).hex(), crypto.team_keys(TEAM)[0].hex()
+
+
+def id_sql(author: str) -> str:
+    """The id of an event of that author."""
+    return f"""sha256('[0,"' || {author} || '",' || created_at || ',' || kind || ',['
+        || array_to_string([ '["' || array_to_string(t, '","') || '"]' FOR t IN tags ], ',') || '],"' || replace(coalesce(content, ''), '"', '\\"') || '"]')"""
+
+
+@on_notes(
+    "envelope_rumors",
+    f"""SELECT id AS envelope_id, {id_sql("author")} AS id, author AS pubkey, receiver, id AS in_envelope, true AS rumor
+        FROM (SELECT note_key, id, created_at, kind, tags, content, CASE WHEN id >= '02' THEN '{MINE}' ELSE '{SEALED_BY}' END AS author,
+                     CASE WHEN id >= '01' AND id < '02' THEN '{OURS}' ELSE '{MINE}' END AS receiver FROM notes)""",
+)
+def envelope_rumors(n: DataFrame) -> DataFrame:
+    found = crypto.unwrapped(enveloped(n), crypto.Keys((OWN,), (TEAM,)))
+    receiver, envelope = crypto.rumor_receiver(F.col("sig")), crypto.rumor_envelope(F.col("sig"))
+    return found.select("envelope_id", "id", "pubkey", receiver.alias("receiver"), envelope.alias("in_envelope"), crypto.is_rumor(F.col("flags")).alias("rumor"))
+
+
+@on_notes("reprocess_envelopes", "SELECT note_key, CASE WHEN note_key % 4 = 0 OR id < '01' OR id >= '02' THEN 4 ELSE 0 END AS flags FROM notes")
+def reprocess_envelopes(n: DataFrame) -> DataFrame:
+    """A key opens what wasn't opened before, every fourth; the team's envelopes stay shut, as its key isn't there."""
+    stored = enveloped(n).withColumn("flags", F.when(F.col("note_key") % 4 == 0, crypto.UNWRAPPED).otherwise(0))
+    return crypto.reprocess(stored, crypto.Keys((OWN,)))[1].select("note_key", "flags")
+
+
+@on_notes("sealed_payloads", "SELECT note_key, '>' || content AS content FROM notes")
+def sealed_payloads(n: DataFrame) -> DataFrame:
+    """What is opened is what was sealed."""
+    key, back = crypto.conversation_key(OWN, crypto.public_key(SEALER)), crypto.conversation_key(SEALER, crypto.public_key(OWN))
+    seal = codecs.mapped(lambda v: crypto.encrypt(key, v["content"].encode(), bytes.fromhex(v["id"])), T.StringType())
+    opened = codecs.mapped(lambda v: crypto.decrypt(back, v).decode(), T.StringType())
+    sealed = n.select("note_key", seal(F.struct(F.concat(F.lit(">"), "content").alias("content"), "id")).alias("sealed"))
+    return sealed.select("note_key", opened(F.col("sealed")).alias("content"))
+
+
+def signature_of(v: dict | None) -> str | None:
+    return v and crypto.sign(OWN, bytes.fromhex(v["id"]), bytes(32)).hex()
+
+
+@on_notes("signature_check", "SELECT note_key, note_key % 3 <> 0 AS valid FROM notes")
+def signature_check(n: DataFrame) -> DataFrame:
+    """Of every third note the signature is that of another id."""
+    other = F.when(F.col("note_key") % 3 == 0, F.sha2("id", 256)).otherwise(F.col("id"))
+    signed = n.select("note_key", "id", codecs.mapped(signature_of, T.StringType())(F.struct(other.alias("id"))).alias("sig"))
+    return signed.select("note_key", crypto.verified(F.lit(MINE), F.col("id"), F.col("sig")).alias("valid"))
+
+
+def own_id() -> Column:
+    c = F.col
+    return text.event_id(F.lit(MINE), c("created_at"), c("kind"), c("tags"), c("content"))
+
+
+def written_lines(n: DataFrame) -> str:
+    """Lines of events in files: signed by one author, every fifth with a signature that isn't its own, kind 7 with none."""
+    own = n.withColumns({"pubkey": F.lit(MINE), "id": own_id()})
+    of = F.when(F.col("note_key") % 5 == 0, F.sha2("id", 256)).otherwise(F.col("id"))
+    made = codecs.mapped(signature_of, T.StringType())(F.when(F.col("kind") != 7, F.struct(of.alias("id"))))
+    path = fresh_path(n.sparkSession, "lines")
+    tables.to_json(own.withColumn("sig", F.coalesce(made, F.lit("0" * 128)))).select("json").write.text(path)
+    return path
+
+
+@on_notes("ingest_checked", f"SELECT {id_sql(repr(MINE))} AS id, kind FROM notes WHERE kind <> 6 AND (kind = 7 OR note_key % 5 <> 0) AND created_at >= {SINCE}")
+def ingest_checked(n: DataFrame) -> DataFrame:
+    """Files of lines, an ingest filter that refuses kind 6 and trusts kind 7, checks of ids and signatures, and notes that are stored before."""
+    stored = n.where(F.col("created_at") < SINCE).select(own_id().alias("id"))
+    decision = F.when(F.col("kind") == 6, events.REJECT).when(F.col("kind") == 7, events.SKIP_CHECKS).otherwise(events.ACCEPT)
+    return events.ingest(n.sparkSession, written_lines(n), stored=stored, decision=decision)[0].select("id", "kind")
+
+
+@on_notes("ingest_relays", "SELECT id, 'wss://a' AS relay FROM notes UNION ALL SELECT id, 'wss://b' FROM notes WHERE note_key % 2 = 0")
+def ingest_relays(n: DataFrame) -> DataFrame:
+    """Relays of duplicates count, also where the note is stored already."""
+    seen = []
+    for relay, part in (("wss://a", n.union(n)), ("wss://b", n.where("note_key % 2 = 0"))):
+        path = fresh_path(n.sparkSession, "lines")
+        tables.to_json(part.withColumn("sig", F.lit("0" * 128))).select("json").write.text(path)
+        seen.append(events.ingest(n.sparkSession, path, relay, n.where("note_key % 3 = 0"), verify=False)[1])
+    return seen[0].union(seen[1])
+
+
+NPUB = codecs.bech32_encode("npub", bytes.fromhex(pubkey(3)))
+REQUEST = codecs.encode_invoice("25u", 1_700_000_000, "coffee")
+#: Contents put together from blocks, in SQL: type, what stands before the block's text, and the text.
+PARTS = [
+    ("text", "''", "'é '"), ("hashtag", "'#'", "'tag' || (note_key % 7)"), ("text", "''", "' then '"),
+    ("url", "''", "'https://h' || (note_key % 11) || '.example/p?q=' || (note_key % 3)"), ("text", "''", "' and '"),
+    ("mention_index", "''", "'#[' || (note_key % 10) || ']'"), ("text", "''", "' by '"), ("mention_bech32", "'@'", f"'{NPUB}'"),
+    ("text", "''", "' pay '"), ("invoice", "''", f"'{REQUEST}'"), ("text", "''", "' end'"),
+]
+
+
+def block_sql(idx: int) -> str:
+    kind, before, value = PARTS[idx]
+    start = " || ".join([f"{b} || {v}" for _, b, v in PARTS[:idx]] + [before])
+    more = {"mention_index": "note_key % 10", "mention_bech32": f"'{pubkey(3)}'", "invoice": "2500000"}
+    index, author, amount = (more[k] if k == kind else "NULL" for k in more)
+    return (
+        f"SELECT note_key, {idx} AS idx, '{kind}' AS type, {value} AS text, length({start}) AS start, "
+        f"{index} AS mention_index, {author} AS pubkey, {amount} AS amount_msat FROM notes"
+    )
+
+
+@on_notes("content_parts", " UNION ALL ".join(map(block_sql, range(len(PARTS)))))
+def content_parts(n: DataFrame) -> DataFrame:
+    """Blocks of every type, with what they decode to."""
+    told = n.select("note_key", F.expr(" || ".join(f"{before} || {value}" for _, before, value in PARTS)).alias("content"))
+    rows = told.select("note_key", F.posexplode(content.blocks(F.col("content"))).alias("idx", "b"))
+    decoded = [F.col("b.mention_index"), F.col("b.bech32.pubkey").alias("pubkey"), F.col("b.invoice.amount_msat").alias("amount_msat")]
+    return rows.select("note_key", "idx", "b.type", "b.text", "b.start", *decoded)
+
+
+@on_notes(
+    "bech32_fields",
+    """SELECT note_key, 0 AS pos, ['note', 'nsec', 'nevent'][note_key % 3 + 1] AS type, id,
+              CASE WHEN note_key % 3 = 2 THEN pubkey END AS pubkey, CASE WHEN note_key % 3 = 2 THEN ['wss://r1'] ELSE [] END AS relays,
+              CASE WHEN note_key % 3 = 2 THEN kind END AS kind, NULL AS identifier FROM notes
+       UNION ALL
+       SELECT note_key, 1, ['npub', 'nprofile', 'naddr', 'nrelay'][note_key % 4 + 1], NULL, CASE WHEN note_key % 4 < 3 THEN pubkey END,
+              CASE WHEN note_key % 4 IN (1, 3) THEN ['wss://r1'] ELSE [] END, CASE WHEN note_key % 4 = 2 THEN kind END,
+              CASE WHEN note_key % 4 = 2 THEN 'd' END FROM notes""",
+)
+def bech32_fields(n: DataFrame) -> DataFrame:
+    """What entities decode to is what they were made from."""
+    told = codecs.mapped(entities_of, T.ArrayType(T.StringType()))(F.struct("note_key", "id", "pubkey", "kind"))
+    rows = n.select("note_key", F.posexplode(told).alias("pos", "value"))
+    return rows.select("note_key", "pos", codecs.bech32_entity(F.col("value")).alias("e")).select("note_key", "pos", "e.*")
+
+
+AMOUNT_SQL = "(note_key % 900 + 1)"
+MSATS_SQL = f"CASE note_key % 5 WHEN 0 THEN {AMOUNT_SQL} * 100000000 WHEN 1 THEN {AMOUNT_SQL} * 100000 WHEN 2 THEN {AMOUNT_SQL} * 100 WHEN 3 THEN {AMOUNT_SQL} END"
+
+
+def invoice_of(note: dict) -> str:
+    """A request whose amount has each of the letters in turn, or is missing."""
+    k = note["note_key"] % 900 + 1
+    amount = (f"{k}m", f"{k}u", f"{k}n", f"{10 * k}p", "")[note["note_key"] % 5]
+    return codecs.encode_invoice(amount, note["created_at"], f"note {k}", 60 * k)
+
+
+def with_invoices(n: DataFrame) -> DataFrame:
+    return n.withColumn("invoice", codecs.mapped(invoice_of, T.StringType())(F.struct("note_key", "created_at")))
+
+
+@on_notes(
+    "invoice_decode",
+    f"""SELECT note_key, {MSATS_SQL} AS amount_msat, created_at AS timestamp, 60 * {AMOUNT_SQL} AS expiry, 'note ' || {AMOUNT_SQL} AS description,
+        NULL AS description_hash FROM notes""",
+)
+def invoice_decode(n: DataFrame) -> DataFrame:
+    return with_invoices(n).select("note_key", codecs.invoice(F.col("invoice")).alias("i")).select("note_key", "i.*")
+
+
+@on_notes(
+    "zaps_bolt11",
+    f"""SELECT last_e AS note_id, count(*) AS unverified, 0 AS verified, coalesce(sum({MSATS_SQL}), 0)::BIGINT AS unverified_msats, 0 AS verified_msats
+        FROM of WHERE kind = 9735 GROUP BY last_e""",
+    POINTED_SQL,
+)
+def zaps_bolt11(n: DataFrame) -> DataFrame:
+    """Zaps whose amounts are decoded from the requests in their tags."""
+    paid = with_invoices(n).withColumn("tags", F.concat("tags", F.array(F.array(F.lit("bolt11"), "invoice"))))
+    return as_long(counters.zaps(paid))
+
+
+@on_notes("emoji_codec", f"SELECT note_key, content AS emoji FROM notes WHERE kind = 7 AND content NOT IN ({listed(STRINGS)})")
+def emoji_codec(n: DataFrame) -> DataFrame:
+    """Emoji to their numbers and back."""
+    found = n.where((F.col("kind") == 7) & ~F.col("content").isin(*STRINGS))
+    return found.select("note_key", codecs.emoji_text(codecs.emoji_key(F.col("content")), ("👩‍🤝‍👩", "🏴‍☠️")).alias("emoji"))
+
+
+@on_notes("visit_until", f"SELECT note_key FROM notes WHERE kind = 7 {NEWEST} LIMIT 12")
+def visit_until(n: DataFrame) -> DataFrame:
+    """The rows that a visitor gets before it ends the visit."""
+    seen: list[int] = []
+
+    def visitor(row) -> bool:
+        seen.append(row["note_key"])
+        return len(seen) < 12
+
+    visit(n, [Filter(kinds=[7], limit=100)], visitor)
+    return n.sparkSession.createDataFrame([(k,) for k in seen], "note_key long")
+
+
+def filter_cases() -> list[tuple[str, str]]:
+    wide = Filter(kinds=[6, 1], since=5, limit=9)
+    narrow = Filter(kinds=[1, 6], since=5, limit=9, authors=AUTHORS)
+    plans = [
+        Filter(), Filter(kinds=[0], search="x"), Filter(search="x"), Filter(ids=IDS), Filter(kinds=[1], relays=RELAYS), Filter(kinds=[1], authors=AUTHORS),
+        Filter(authors=AUTHORS[:1]), Filter(tags={"t": ["a"]}), Filter(kinds=[1]), Filter(since=1),
+    ]
+    yes = lambda b: "yes" if b else "no"
+    return [
+        ("json", wide.to_json()), ("read back", yes(Filter.from_json(narrow.to_json()) == narrow)), ("order is no part", yes(wide == Filter(kinds=[1, 6], since=5, limit=9))),
+        ("subset", yes(narrow.is_subset_of(wide))), ("no subset", yes(wide.is_subset_of(narrow))), ("plans", " ".join(map(plan_name, plans))),
+    ]
+
+
+@on_notes(
+    "filter_functions",
+    """SELECT * FROM (VALUES ('json', '{"kinds":[1,6],"since":5,"limit":9}'), ('read back', 'yes'), ('order is no part', 'yes'), ('subset', 'yes'), ('no subset', 'no'),
+       ('plans', 'all_notes profile_search search ids relay_kinds author_kinds authors tags kinds created')) v(name, value)""",
+)
+def filter_functions(n: DataFrame) -> DataFrame:
+    return n.sparkSession.createDataFrame(filter_cases(), "name string, value string")
 
 
 # Maintenance and streams.
@@ -626,8 +842,11 @@ def snapshot(n: DataFrame) -> DataFrame:
 
 
 def note_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return adapt.notes_of(live.file_stream(spark, sf_dir, "events.parquet", schema))
+    """The notes in three files, which arrive one after the other."""
+    folder = fresh_path(spark, "arriving")
+    found = spark.read.parquet(f"{sf_dir}/events.parquet")
+    found.repartition(3, "event_id").write.parquet(folder)
+    return adapt.notes_of(live.file_stream(spark, folder, "*.parquet", found.schema, files_per_batch=1))
 
 
 @registered("stream_subscription", f"SELECT {ROW_SQL} FROM notes WHERE kind = 7 OR (kind = 1 AND list_bool_or([x[1] = 't' AND x[2] = '3' FOR x IN tags]))")
@@ -635,21 +854,38 @@ def stream_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "matches")
     wanted = [Filter(kinds=[7]), Filter(kinds=[1], tags={"t": ["3"]}), Filter(kinds=[7], since=SINCE)]
     found = live.matches(note_stream(spark, sf_dir), wanted).select(ROW)
-    live.run_once(found, lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}"), "subscription")
+    live.run_once(found, live.batches(path), "subscription")
     return live.stored(spark, path, found.schema)
 
 
+def streamed_counts(spark: SparkSession, sf_dir: str) -> str:
+    path = fresh_path(spark, "counts")
+    live.count(note_stream(spark, sf_dir), path, F.col("msats"), fold=2)
+    return path
+
+
 @registered("stream_counts", COUNTS_SQL, POINTED_SQL)
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "counts")
-    live.count(note_stream(spark, sf_dir), path)
-    return live.counted(spark, path)
+    return live.counted(spark, streamed_counts(spark, sf_dir))
+
+
+@registered("stream_reactions", f"SELECT last_e AS note_id, {REACTION_SQL} AS reaction, count(*) AS n FROM of WHERE kind = 7 GROUP BY ALL", POINTED_SQL)
+def stream_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.counted_reactions(spark, streamed_counts(spark, sf_dir))
+
+
+@registered("stream_zaps", "SELECT last_e AS note_id, count(*) AS zaps, sum(msats)::BIGINT AS msats FROM of WHERE kind = 9735 GROUP BY last_e", POINTED_SQL)
+def stream_zaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.counted_zaps(spark, streamed_counts(spark, sf_dir))
 
 
-@registered("stream_dedupe", "SELECT id, kind FROM notes")
+@registered("stream_dedupe", "SELECT id, kind FROM notes WHERE note_key % 5 <> 0")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "stored")
-    notes = note_stream(spark, sf_dir).select("id", "kind")
-    twice = notes.select(F.explode(F.array(F.struct("id", "kind"), F.struct("id", "kind"))).alias("n")).select("n.*")
-    live.run_once(twice, live.store(twice, path), "stored")
-    return live.stored(spark, path, twice.schema)
+    """Each note comes twice, in a batch of its own and in a later one; every fifth is stored before."""
+    path, again = fresh_path(spark, "stored"), fresh_path(spark, "arriving")
+    events_of = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for _ in range(2):
+        events_of.repartition(2, "event_id").write.mode("append").parquet(again)
+    notes = adapt.notes_of(live.file_stream(spark, again, "*.parquet", events_of.schema, files_per_batch=1)).select("id", "kind")
+    live.store(notes, path, adapt.notes(spark, sf_dir).where("note_key % 5 = 0"))
+    return live.stored(spark, path, notes.schema)

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = {"view": 1, "click": 7, "purchase": 9735, "signup": 0}
-REACTIONS = ("+", "-", "🤙", "a long reaction", "")
+REACTIONS = (
+    "+", "-", "🤙", "a long reaction", "", "🇺🇸", "1️⃣", "🏴󠁧󠁢󠁥󠁮󠁧󠁿", "👩🏻‍🤝‍👩🏿", "🏴‍☠️", "👍🏽", "🇺🇸🇺🇸", "seven77",
+)
 
 
 def hashed(value: Column | str) -> Column:
@@ -55,13 +57,14 @@ def notes_of(events: DataFrame) -> DataFrame:
     )
 
 
-NOTES_SQL = """
+REACTIONS_SQL = ", ".join(f"'{r}'" for r in REACTIONS)
+NOTES_SQL = f"""
     notes AS (
         SELECT event_id AS note_key, sha256(event_id::VARCHAR) AS id, sha256('pk' || user_id::VARCHAR) AS pubkey,
                epoch_us(ts) // 1000000 AS created_at,
                (CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 7 WHEN 'purchase' THEN 9735 WHEN 'signup' THEN 0 ELSE 6 END)::BIGINT AS kind,
-               CASE event_type WHEN 'click' THEN ['+', '-', '🤙', 'a long reaction', ''][(event_id % 5 + 1)::INT]
-                    WHEN 'signup' THEN '{"name":"Name' || (user_id % 37) || '","display_name":"Shown' || (event_id % 11) || '"}'
+               CASE event_type WHEN 'click' THEN [{REACTIONS_SQL}][(event_id % {len(REACTIONS)} + 1)::INT]
+                    WHEN 'signup' THEN '{{"name":"Name' || (user_id % 37) || '","display_name":"Shown' || (event_id % 11) || '"}}'
                     ELSE props END AS content,
                list_concat([['t', regexp_extract(props, '([0-9]+)', 1)], ['e', sha256((event_id // 10 * 10)::VARCHAR)],
                             ['p', sha256('pk' || user_id::VARCHAR)]],

@@ -79,11 +79,13 @@ def has_own_id(pubkey: str = "pubkey") -> Column:
     return c("id") == text.event_id(c(pubkey), c("created_at"), c("kind"), c("tags"), c("content"))
 
 
-def checked(events: DataFrame, decision: Column | None = None, verify: bool = True) -> DataFrame:
-    """Events that the ingest filter lets in and that are what they say.
+def checked(
+    events: DataFrame, decision: Column | None = None, verify: bool = True, stored: DataFrame | None = None
+) -> DataFrame:
+    """Events that the ingest filter lets in and that are what they say, without those that are ``stored``.
 
     ``decision`` gives ACCEPT, REJECT or SKIP_CHECKS for each. The cheap test of
-    the id comes before the signature's.
+    the id comes first, and then the join with the stored ids, as a signature takes longest.
     """
     from tidewell.functions import crypto
 
@@ -91,6 +93,9 @@ def checked(events: DataFrame, decision: Column | None = None, verify: bool = Tr
     skip = F.lit(False) if decision is None else F.col("_d") == SKIP_CHECKS
     if verify:
         rows = rows.where(skip | has_own_id())
+    if stored is not None:
+        rows = rows.join(stored.select("id"), "id", "left_anti").select(rows.columns)
+    if verify:
         rows = rows.where(skip | crypto.verified(F.col("pubkey"), F.col("id"), F.col("sig")))
     return rows.select(events.columns)
 
@@ -126,7 +131,12 @@ def ingest(
     the relays with what was written: keys belong to a table, not to a plan.
     """
     lines = spark.read.text(path).withColumns({"_order": F.monotonically_increasing_id(), "relay": F.lit(relay)})
-    events = with_reposted(parse(envelopes(lines)))
-    good = deduplicated(checked(events, decision, verify), stored)
+    found = envelopes(lines)
+    if stored is not None and relay is None:
+        # Nothing is asked of known events, not even where they were seen: they needn't be parsed.
+        found = unknown(found, stored)
+    events = with_reposted(parse(found))
+    # Which of equal ids is taken is decided among those whose signature is good.
+    good = deduplicated(checked(events, decision, verify, stored))
     notes = with_keys(good.drop("_order", "relay"), after)
     return notes, events.where("relay IS NOT NULL").select("id", "relay").distinct()
