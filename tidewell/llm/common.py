@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions.binding import let
-from tidewell.storage import materialise
+from tidewell.storage import discard, materialise
 
-__all__ = ["ORDER", "in_order", "let", "map_slices", "materialise", "numbered", "positions", "ranked", "shuffle_partitions"]
+__all__ = ["ORDER", "discard", "in_order", "let", "map_slices", "materialise", "numbered", "positions", "ranked", "shuffle_partitions"]
 
 #: White space as the operators' contracts define it: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,8 +23,23 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"\x20\x09-\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Rows taken out of an Arrow batch at a time, so that Python holds few texts at once.
-SLICE = 256
+#: Rows, and bytes of text, taken out of an Arrow batch at a time, so that Python holds few texts at once.
+SLICE, SLICE_BYTES = 256, 1 << 22
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of the rows of a batch: at most SLICE rows, and SLICE_BYTES of text but for a single row."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(upto, upto[at] + SLICE_BYTES, side="right")) - 1
+        end = max(at + 1, min(fit, at + SLICE))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def map_slices(
@@ -34,14 +51,13 @@ def map_slices(
     """Run a Python function over column lists, a few hundred rows at a time.
 
     ``make`` is called once for each task and gives the function, so that a task
-    loads its tables once. Memory is that of one Arrow batch and its slice.
+    loads its tables once. Memory is that of one Arrow batch and a slice of bounded rows and bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch):
                 out = apply({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 

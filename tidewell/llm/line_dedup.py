@@ -12,7 +12,8 @@ document, the first of each salt is found, and the firsts, at most as many as
 there are salts, are compared among themselves in a second pass.
 
 Null and empty texts are one empty line. Rows with a null doc_id lose no line and cause no loss.
-Repeated rows of a document count as one document and lose the same lines.
+Repeated rows of a document count as one document and lose the same lines. Texts and lines of any length are read
+whole. An empty table gives no rows. Other columns, whatever their names, play no part and are kept.
 """
 
 from __future__ import annotations

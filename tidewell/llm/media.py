@@ -7,7 +7,8 @@ DC difference of zero, a bit of code, and 63 such coefficients of a bit of code
 and eight bits, 71 bytes in all. The Huffman tables in the file say so, and any
 baseline decoder reads the frames.
 
-Null and empty texts are 192 spaces. Equal texts give equal files.
+Null and empty texts are 192 spaces. Equal texts give equal files. Repeated rows are stored each, and texts of any
+length whole. An empty table gives no rows. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

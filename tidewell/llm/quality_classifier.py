@@ -4,8 +4,10 @@ Statistics of the text alone are its inputs. The trees are fitted on the driver
 on a bounded sample of labelled rows and flattened into arrays; workers walk all
 trees of a few thousand documents at once with numpy.
 
-Null and empty texts have statistics of zero and a score like any other. Repeated rows are scored
-each. Without labels of both kinds every score is the share of label 1, or a half.
+Null and empty texts have statistics of zero and a score like any other, and texts of any length are read whole.
+Repeated rows are scored each, and equal texts alike; of a doc_id's repeated rows the trees are fitted on one. Of several labels
+of a doc_id the smallest counts, and others than 0 and 1 don't. Without labels of both kinds every score is the share
+of label 1, or a half. An empty table gives no rows. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -169,12 +171,13 @@ def held_out(doc_id: str) -> Column:
 def learn(counts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """Trees from the labelled rows that aren't held out: all, or about ``sample`` that their hashes choose."""
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), "quality")
-    known = known.where(~held_out("_id")).dropDuplicates(["_id"])
+    known = known.where(~held_out("_id")).groupBy("_id").agg(F.min("quality").alias("quality"))
     rows = counts.join(known, counts["doc_id"] == known["_id"])
     # The share to take is fixed before rows are sent, so that no task sends more than its share.
     share = min(1.0, sample / max(1, known.count()))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    found = sorted(map(tuple, rows.where(chosen).select("doc_id", "quality", "x").collect()))
+    single = rows.where(chosen).groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    found = sorted(map(tuple, single.collect()))
     x = np.array([r[2] for r in found]).reshape(-1, len(NAMES))
     return fit(x, np.array([r[1] for r in found], dtype=np.float64))
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_slices, materialise
+from tidewell.llm.common import discard, map_slices, materialise
 
 SHINGLE = 4
 SEED = 42
@@ -159,7 +159,10 @@ def links(nodes: DataFrame) -> DataFrame:
     near = F.expr(f"bit_count(fp ^ centre) <= {NEAR}")
     stars = members.where(near & (F.col("fp") != F.col("centre"))).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
     both = stars.union(compared(members, near))
-    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = materialise(found, "links")
+    discard(shared, members)
+    return found
 
 
 def compared(members: DataFrame, near: Column) -> DataFrame:
@@ -175,7 +178,7 @@ def compared(members: DataFrame, near: Column) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root, the least node of its component, for the nodes of ``edges`` (a, b).
+    """node and root, the least node of its component, for the nodes of ``edges`` (a, b), each given once.
 
     A large star ties a node's larger neighbours to the least of its
     neighbourhood, a small star the smaller ones and itself; the rounds end
@@ -192,14 +195,15 @@ def components(edges: DataFrame) -> DataFrame:
         mixed = F.xxhash64("a", "b").cast("decimal(38,0)")
         return tuple(df.agg(F.count(F.lit(1)), F.sum(mixed)).first())
 
-    now = materialise(edges.distinct(), "edges")
+    now = edges
     state = told(now)
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         tied = [F.struct(F.col(x).alias("a"), F.col("m").alias("b")) for x in ("u", "v")]
         pairs = star(large).select(F.inline(F.array(*tied)))
-        now = materialise(pairs.where("a != b").distinct(), "edges")
+        last, now = now, materialise(pairs.where("a != b").distinct(), "edges")
+        discard(last)
         before, state = state, told(now)
         if before == state:
             break

@@ -6,7 +6,8 @@ broadcast table of the lengths of frequent pre-tokens, the second a cache in
 each worker; what misses both is encoded by the library. Pre-tokens are never
 shuffled.
 
-Null texts count as empty. A text that the cut can't be proven right for (it
+Null texts count as empty. Repeated rows are counted each, and texts of any length whole. An empty table gives no
+rows. A text that the cut can't be proven right for (it
 holds the library's own space mark) goes to the library whole.
 """
 
@@ -50,6 +51,15 @@ def crossing(model) -> bool:
     return any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces)
 
 
+#: Characters that normal forms, folding of case or of blanks would change.
+CHANGEABLE = "A  Ｂ ﬁ ① e\u0301 \u3000 \u00a0 ² \u200b K Ǆ x"
+
+
+def changing(model) -> bool:
+    """Whether the model changes characters before it cuts a text, so that a word's tokens depend on more than the word."""
+    return model.normalize(CHANGEABLE) != MARK + CHANGEABLE.replace(" ", MARK)
+
+
 def pretokens(text: str) -> list[str]:
     """Cut ``text``, which has no line feed, into words that carry the spaces before them.
 
@@ -178,8 +188,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     Null and empty texts have no bytes and no tokens. Repeated rows are counted
     each; other columns of ``docs`` are not read.
     """
-    if crossing(coder(path)):
-        raise ValueError("this vocabulary joins words: the cut into pre-tokens would not be exact")
+    if crossing(coder(path)) or changing(coder(path)):
+        raise ValueError("this vocabulary joins words, or its normaliser changes them: the cut into pre-tokens would not be exact")
     held = docs.sparkSession.sparkContext.broadcast(frequent(docs, path))
 
     def make():
