@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import line_dedup, mixing, packing, quality_rules, simhash
-from tidewell.llm.common import materialise
+from tidewell.llm.common import discard, materialise
 from tidewell.llm.queries import CAPACITY, WEIGHTS, WORD_BPE, documents, tokenizer
 
 #: Pieces of the mix that are packed together.
@@ -61,5 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        made = materialise(stage(spark, docs, sf_dir), name)
+        # What the stage before wrote has been read to its end.
+        discard(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
