@@ -283,3 +283,19 @@ def test_polls_go_on_where_they_ended(spark, tmp_path):
     polled = [[r["note_key"] for r in subs.poll(number, 4)] for _ in range(4)]
     assert polled == [[1, 2, 3, 4], [5, 6, 7, 8], [9], []]
     subs.unsubscribe(number)
+
+
+def test_search_by_one_pass_is_search_by_words(spark):
+    import random
+
+    from tidewell.functions import text
+
+    r = random.Random(1)
+    parts = ["the", "THE", "Été", "ét", "a", "ab", "a_b", " ", ",", ".", "—", " ", "\n", "日本", "-", "theory", "x1", "(", "."]
+    rows = [("".join(r.choice(parts) for _ in range(r.randint(0, 8))), 1) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "content string, kind long")
+    for query_text in ("the", "été", "日本語", "a_b th", "ab. the", "THEO x1"):
+        wanted = df
+        for w in search.query_words(query_text):
+            wanted = wanted.where(search.has_word(text.words(F.col("content")), w))
+        assert search.matching_words(df, query_text).count() == wanted.count()

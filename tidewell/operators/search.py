@@ -47,6 +47,21 @@ def has_word(words: Column, query_word: str) -> Column:
     return F.exists(words, lambda x: (F.octet_length(x) >= 2) & has_prefix(x, query_word))
 
 
+def any_case(text: str) -> str:
+    """An expression for a text whose ASCII letters may be of either case."""
+    return "".join(f"[{c}{c.upper()}]" if c.isascii() and c.isalpha() else re.escape(c) if c.isascii() else c for c in text)
+
+
+def has_word_in(content: Column, query_word: str) -> Column | None:
+    """The same by one pass over the text, which is neither lowered nor split; None if the prefix ends inside a character."""
+    try:
+        prefix = needed_prefix(query_word).decode()
+    except UnicodeDecodeError:
+        return None
+    separator = text_functions.SEPARATORS.removesuffix("+")
+    return content.rlike(rf"(?:\A|{separator}){any_case(prefix)}")
+
+
 def matching_words(notes: DataFrame, query: str) -> DataFrame:
     """Notes of the indexed kinds that have a word for each word of the query.
 
@@ -56,11 +71,19 @@ def matching_words(notes: DataFrame, query: str) -> DataFrame:
     indexed = notes.where(F.col("kind").isin(*TEXT_KINDS))
     if not wanted:
         return indexed.where(F.lit(False))
+    content = F.col("content")
+    tests = {w: has_word_in(content, w) for w in wanted}
+    for test in tests.values():
+        if test is not None:
+            indexed = indexed.where(test)
+    split = [w for w, test in tests.items() if test is None]
+    if not split:
+        return indexed
 
     def has_all(words: Column) -> Column:
-        return functools.reduce(operator.and_, (has_word(words, w) for w in wanted))
+        return functools.reduce(operator.and_, (has_word(words, w) for w in split))
 
-    return indexed.where(let(text_functions.words(F.col("content")), has_all))
+    return indexed.where(let(text_functions.words(content), has_all))
 
 
 def search(notes: DataFrame, query: str, limit: int = MOST_HITS, ascending: bool = False) -> DataFrame:
