@@ -170,6 +170,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("profile", "a") == ["ann\t" + notes[0]["pubkey"]]
     assert [x.split("\t")[:2] for x in run("stat")] == [["profile", "1"], ["text", "3"]]
     assert len(run("print", "tokens")) == 9 and len(run("print", "tags")) == 3
+    assert len(run("print", "profiles")) == 1 and len(run("print", "blocks")) == 3 and [x.split("\t")[0] for x in run("print", "names")] == ["ann"]
+    # What an import that was cut short has left doesn't count, and the next one takes its place.
+    left = tables.latest(maintenance.load(spark, store)["notes"], "pubkey")
+    left.write.parquet(f"{store}/notes/batch=2")
+    assert len(run("query", "--kind", "1")) == 3
+    answer = signed(content="an answer", created_at=50, tags=[["e", notes[1]["id"]]])
+    (tmp_path / "c.jsonl").write_text(json.dumps(answer))
+    assert run("import", str(tmp_path / "c.jsonl"), "--skip-blocks") == ["1 new notes"]
+    assert len(run("query", "--kind", "1")) == 4 and len(run("print", "blocks")) == 3
+    assert [x.split("\t")[0] for x in run("print", "counters")] == [notes[1]["id"]]
+    with pytest.raises(ValueError):
+        maintenance.snapshot({"notes": left}, store)
 
 
 def test_builder_and_keys(spark):

@@ -17,6 +17,14 @@ from tidewell.sources import events
 from tidewell.storage import materialise
 
 
+#: What an import may leave out, and the derived tables that can be printed, under their names in the store.
+SKIPPED = ("skip-fulltext", "skip-blocks", "skip-counters")
+DERIVED = {
+    "tags": "tags", "tokens": "tokens", "names": "profile_names", "profiles": "profiles", "blocks": "blocks", "counters": "note_counts", "reactions": "note_reactions",
+    "zaps": "zaps",
+}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tidewell", description=__doc__)
     p.add_argument("--store", required=True, help="folder of the stored tables")
@@ -25,6 +33,8 @@ def parser() -> argparse.ArgumentParser:
     imp.add_argument("path")
     imp.add_argument("--relay")
     imp.add_argument("--skip-verification", action="store_true")
+    for name in SKIPPED:
+        imp.add_argument(f"--{name}", action="store_true", help="derive no such table")
     q = sub.add_parser("query", help="notes of a filter, newest first, as JSON")
     q.add_argument("--filter", help="the filter as JSON")
     for name in ("ids", "author", "kind", "tag", "relay"):
@@ -44,7 +54,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("stat", help="counts and sizes by kind")
     sub.add_parser("resolve-pubkeys", help="put names for pubkeys in the lines of standard input")
     dump = sub.add_parser("print", help="a derived table")
-    dump.add_argument("table", choices=["kinds", "tags", "tokens", "names", "relays"])
+    dump.add_argument("table", choices=["kinds", "relays", *DERIVED])
     return p
 
 
@@ -62,7 +72,7 @@ def filter_of(a: argparse.Namespace) -> Filter:
 
 
 def run_import(spark: SparkSession, a: argparse.Namespace) -> Iterable[str]:
-    """Import into a new store, or what is new into one that is there. The tables grow by files of their own."""
+    """Import into a new store, or what is new into one that is there, with all that is derived, in one commit."""
     there = maintenance.exists(spark, a.store)
     stored = maintenance.load(spark, a.store) if there else {}
     after = stored["notes"].agg(F.max("note_key")).first()[0] or 0 if there else 0
@@ -76,10 +86,8 @@ def run_import(spark: SparkSession, a: argparse.Namespace) -> Iterable[str]:
     if there:
         relays = tables.add_relays(stored["note_relays"], relays)
     relays = materialise(relays, "import-relays")
-    if there:
-        maintenance.append({"notes": fresh, "note_relays": relays}, a.store)
-    else:
-        maintenance.snapshot({"notes": fresh, "note_relays": relays}, a.store)
+    options = maintenance.Options(a.skip_fulltext, a.skip_blocks, a.skip_counters)
+    maintenance.append({"notes": fresh, "note_relays": relays} | maintenance.derived(fresh, options), a.store)
     yield f"{fresh.count()} new notes"
 
 
@@ -110,14 +118,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> Iterable[str]:
         lines = spark.createDataFrame([(i, x.rstrip("\n")) for i, x in enumerate(sys.stdin)], "n long, line string")
         yield from told(tables.resolve_pubkeys(lines, "line", tables.best_names(notes), "n").orderBy("n").select("line"))
     else:
-        made = {
-            "kinds": lambda: notes.select("kind", "created_at", "note_key").orderBy("kind", "created_at"),
-            "tags": lambda: tables.tag_rows(notes),
-            "tokens": lambda: search.tokens(notes),
-            "names": lambda: search.names(notes).orderBy("key"),
-            "relays": lambda: relays.orderBy("note_key", "relay"),
-        }
-        yield from told(made[a.table]())
+        made = {"kinds": lambda: notes.select("kind", "created_at", "note_key").orderBy("kind", "created_at"), "relays": lambda: relays.orderBy("note_key", "relay")}
+        if a.table in made:
+            yield from told(made[a.table]())
+        elif DERIVED[a.table] in stored:
+            name = DERIVED[a.table]
+            yield from told(maintenance.added_up(name, stored[name]))
 
 
 def main(args: list[str] | None = None) -> int:

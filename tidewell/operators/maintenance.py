@@ -50,39 +50,70 @@ def compact(notes: DataFrame, own: Sequence[str]) -> DataFrame:
     return keep.sort("note_key").withColumn("note_key", F.monotonically_increasing_id() + 1)
 
 
-def snapshot(held: dict[str, DataFrame], path: str) -> None:
-    """Write the tables and their version below ``path``."""
-    for name, df in held.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
-    next(iter(held.values())).sparkSession.createDataFrame([(VERSION,)], "version int").write.parquet(f"{path}/version")
-
-
-def append(held: dict[str, DataFrame], path: str) -> None:
-    """Add rows to the tables below ``path``."""
-    for name, df in held.items():
-        df.write.mode("append").parquet(f"{path}/{name}")
-
-
 def folder(spark: SparkSession, path: str) -> tuple:
     """A path and its file system, of whatever store."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+COMMITS, VERSIONS, BATCH = "commits", "version", "batch"
+
+
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that were written to their end."""
+    hadoop, store = folder(spark, f"{path}/{COMMITS}")
+    return sorted(int(s.getPath().getName()) for s in store.listStatus(hadoop)) if store.exists(hadoop) else []
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop, store = folder(spark, f"{path}/version")
-    return store.exists(hadoop)
+    return bool(committed(spark, path))
+
+
+def append(held: dict[str, DataFrame], path: str) -> None:
+    """Add a batch of rows to the tables below ``path``, all of them or, if it is cut short, none.
+
+    Each table has a folder for the batch. An empty file, made when all are written, says that they count; what a batch
+    that failed has left is replaced by the next one.
+    """
+    spark = next(iter(held.values())).sparkSession
+    number = max(committed(spark, path), default=-1) + 1
+    for name, df in held.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}/{BATCH}={number}")
+    if not number:
+        spark.createDataFrame([(VERSION,)], "version int").write.mode("overwrite").parquet(f"{path}/{VERSIONS}")
+    hadoop, store = folder(spark, f"{path}/{COMMITS}/{number}")
+    store.create(hadoop, False).close()
+
+
+def snapshot(held: dict[str, DataFrame], path: str) -> None:
+    """Write the tables and their version below ``path``, where nothing is yet."""
+    if exists(next(iter(held.values())).sparkSession, path):
+        raise ValueError(f"{path} holds tables already")
+    append(held, path)
 
 
 Migration = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
 
 
 def load(spark: SparkSession, path: str, migrations: Sequence[Migration] = ()) -> dict[str, DataFrame]:
-    """Tables of a snapshot, led through the migrations that its version lacks."""
-    version = spark.read.parquet(f"{path}/version").first()[0]
+    """Tables of a store as of its last whole batch, led through the migrations that its version lacks."""
+    version = spark.read.parquet(f"{path}/{VERSIONS}").first()[0]
     hadoop, store = folder(spark, path)
-    names = {s.getPath().getName() for s in store.listStatus(hadoop)}
-    held = {n: spark.read.parquet(f"{path}/{n}") for n in sorted(names - {"version"})}
+    names = {s.getPath().getName() for s in store.listStatus(hadoop)} - {VERSIONS, COMMITS}
+    whole = F.col(BATCH).isin(committed(spark, path))
+    held = {n: spark.read.parquet(f"{path}/{n}").where(whole).drop(BATCH) for n in sorted(names)}
     for migrate in migrations[version - 1 :]:
         held = migrate(held)
     return held
+
+
+#: Of the derived tables those whose rows of several batches add up: what tells a counter, and its sums.
+ADDED = {"note_counts": (["note_id"], counters.COUNTS), "note_reactions": (["note_id", "reaction"], ["n"])}
+
+
+def added_up(name: str, held: DataFrame) -> DataFrame:
+    """A derived table as of all batches."""
+    if name not in ADDED:
+        return held
+    keys, sums = ADDED[name]
+    return held.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
