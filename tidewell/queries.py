@@ -581,6 +581,11 @@ def bech32_decode(n: DataFrame) -> DataFrame:
     return n.select(F.explode(told).alias("value")).select("value", codecs.bech32_entity(F.col("value")).alias("e")).select("value", "e.*")
 
 
+def spread(n: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, for functions that take long: a small table may be one file."""
+    return n.repartition(2 * n.sparkSession.sparkContext.defaultParallelism, "note_key")
+
+
 OWN, TEAM, SEALER, WRAPPER = (hashlib.sha256(name).digest() for name in (b"own", b"team", b"sealer", b"wrapper"))
 
 
@@ -606,7 +611,7 @@ def envelope_of(note: dict) -> dict:
 
 def enveloped(n: DataFrame) -> DataFrame:
     put = codecs.mapped(envelope_of, codecs.struct(kind=T.LongType(), pubkey=T.StringType(), content=T.StringType()))
-    wrapped = n.select("note_key", "id", put(F.struct("id", "created_at", "kind", "tags", "content")).alias("e")).select("note_key", "id", "e.*")
+    wrapped = spread(n).select("note_key", "id", put(F.struct("id", "created_at", "kind", "tags", "content")).alias("e")).select("note_key", "id", "e.*")
     return materialise(wrapped, "envelopes")
 
 
@@ -649,7 +654,7 @@ def sealed_payloads(n: DataFrame) -> DataFrame:
     key, back = crypto.conversation_key(OWN, crypto.public_key(SEALER)), crypto.conversation_key(SEALER, crypto.public_key(OWN))
     seal = codecs.mapped(lambda v: crypto.encrypt(key, v["content"].encode(), bytes.fromhex(v["id"])), T.StringType())
     opened = codecs.mapped(lambda v: crypto.decrypt(back, v).decode(), T.StringType())
-    sealed = n.select("note_key", seal(F.struct(F.concat(F.lit(">"), "content").alias("content"), "id")).alias("sealed"))
+    sealed = spread(n).select("note_key", seal(F.struct(F.concat(F.lit(">"), "content").alias("content"), "id")).alias("sealed"))
     return sealed.select("note_key", opened(F.col("sealed")).alias("content"))
 
 
@@ -661,7 +666,7 @@ def signature_of(v: dict | None) -> str | None:
 def signature_check(n: DataFrame) -> DataFrame:
     """Of every third note the signature is that of another id."""
     other = F.when(F.col("note_key") % 3 == 0, F.sha2("id", 256)).otherwise(F.col("id"))
-    signed = n.select("note_key", "id", codecs.mapped(signature_of, T.StringType())(F.struct(other.alias("id"))).alias("sig"))
+    signed = spread(n).select("note_key", "id", codecs.mapped(signature_of, T.StringType())(F.struct(other.alias("id"))).alias("sig"))
     return signed.select("note_key", crypto.verified(F.lit(MINE), F.col("id"), F.col("sig")).alias("valid"))
 
 
@@ -672,7 +677,7 @@ def own_id() -> Column:
 
 def written_lines(n: DataFrame) -> str:
     """Lines of events in files: signed by one author, every fifth with a signature that isn't its own, kind 7 with none."""
-    own = n.withColumns({"pubkey": F.lit(MINE), "id": own_id()})
+    own = spread(n).withColumns({"pubkey": F.lit(MINE), "id": own_id()})
     of = F.when(F.col("note_key") % 5 == 0, F.sha2("id", 256)).otherwise(F.col("id"))
     made = codecs.mapped(signature_of, T.StringType())(F.when(F.col("kind") != 7, F.struct(of.alias("id"))))
     path = fresh_path(n.sparkSession, "lines")
