@@ -132,10 +132,9 @@ def first_equal(masks: list[str]) -> str:
 
 
 def cut(members: DataFrame) -> DataFrame:
-    """``members`` with piece and part, by which they join besides their key: a row for each piece where the bucket is crowded."""
+    """``members`` of crowded buckets with piece and part, by which they join besides their key: a row for each piece."""
     parts = by_cut(lambda masks: "array(" + ", ".join(f"fp & {m}" for m in masks) + ")")
-    split = F.when(F.col("members") > CROWDED, F.expr(parts)).otherwise(F.array(F.lit(0).cast("long")))
-    return members.select("*", F.posexplode(split).alias("piece", "part"))
+    return members.where(F.col("members") > CROWDED).select("*", F.posexplode(F.expr(parts)).alias("piece", "part"))
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -167,14 +166,17 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def compared(members: DataFrame, near: Column) -> DataFrame:
     """Links a, b of the members that don't link to their bucket's centre."""
-    on = ["key", "piece", "part"]
-    far = cut(members.where(~near)).select(F.col("fp").alias("a"), "p", "members", *on)
-    rest = cut(members).select(F.col("fp").alias("b"), near.alias("near_b"), *(F.col(c).alias(f"{c}_b") for c in on))
+    # Two that are both far meet once, by their order, and in a crowded bucket at the first of their equal pieces.
+    once = f"a != b AND (near_b OR a > b) AND bit_count(a ^ b) <= {NEAR} AND p = {lowest_shared()}"
+    sparse = members.where(F.col("members") <= CROWDED)
+    return met(sparse, near, ["key"], once).union(met(cut(members), near, ["key", "piece", "part"], f"{once} AND piece = {by_cut(first_equal)}"))
+
+
+def met(members: DataFrame, near: Column, on: list[str], once: str) -> DataFrame:
+    far = members.where(~near).select(F.col("fp").alias("a"), "p", *on)
+    rest = members.select(F.col("fp").alias("b"), near.alias("near_b"), *(F.col(c).alias(f"{c}_b") for c in on))
     equal = " AND ".join(f"{c} = {c}_b" for c in on)
-    # Two that are both far meet once, by their order, and at the first of their equal pieces.
-    once = f"(members <= {CROWDED} OR piece = {by_cut(first_equal)})"
-    pair = f"a != b AND (near_b OR a > b) AND bit_count(a ^ b) <= {NEAR} AND p = {lowest_shared()} AND {once}"
-    return far.join(rest, F.expr(f"{equal} AND {pair}")).select("a", "b")
+    return far.join(rest, F.expr(f"{equal} AND {once}")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
