@@ -146,11 +146,19 @@ def test_prior_vanishes_as_documents_grow():
     assert rules.estimate([], 3).good == rules.PRIOR_GOOD
 
 
-def test_main_path_is_without_python(spark):
+def test_main_path_is_without_python_and_features_are_counted_once(spark):
     docs = documents(spark)
-    for made in (rules.judge(docs), rules.keep(docs), docs.select(rules.features(docs["text"]).alias("f"))):
+    for made in (rules.judge(docs), rules.keep(docs)):
         plan = made._jdf.queryExecution().toString()
         assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+        assert "xxhash64" not in plan and "FileScan parquet" in plan
+    plan = docs.select(rules.features(docs["text"]).alias("f"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_hashes_of_function_words(spark):
+    told = spark.createDataFrame([(w,) for w in rules.FUNCTION_WORDS], "w string").select(F.xxhash64("w")).collect()
+    assert [r[0] for r in told] == rules.FUNCTION_HASHES
 
 
 def test_very_long_texts_are_counted_whole(spark):

@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,26 +72,35 @@ FUNCTION_WORDS = (
     "el los las y en con por una del se es"
 ).split()
 
+#: Their hashes as Spark makes them, so that words are told by one look into a set.
+FUNCTION_HASHES = [h - (1 << 64) if (h := xxhash.xxh64_intdigest(w, 42)) >> 63 else h for w in FUNCTION_WORDS]
 
-def covered(hashes: Column) -> Column:
-    """Words in three-word windows that the text has twice or more."""
-    windows = let(
-        hashes,
-        lambda h: F.transform(
-            F.sequence(F.lit(0), F.size(h) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).alias("h"), i.alias("i")),
-        ),
+
+def windows(hashes: Column) -> Column:
+    """The hashes of the three-word windows, from those of the words, of which there are three at least."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(hashes) - 3),
+        lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)),
     )
+
+
+def places(found: Column) -> Column:
+    """The words in windows that are there twice or more."""
     twice = let(
-        F.sort_array(windows),
+        F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         lambda s: F.filter(
             s,
             lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False))
             | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)),
         ),
     )
-    places = F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))
-    return F.when(F.size(hashes) < 4, F.lit(0)).otherwise(F.size(F.array_distinct(F.flatten(places))))
+    return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+
+def covered(hashes: Column) -> Column:
+    """Words in three-word windows that the text has twice or more. Most texts have none, which their distinct windows tell."""
+    some = let(windows(hashes), lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(places(w)))
+    return F.when(F.size(hashes) < 4, F.lit(0)).otherwise(some)
 
 
 def features(text: Column) -> Column:
@@ -99,14 +109,13 @@ def features(text: Column) -> Column:
     count = lambda pattern: F.regexp_count(whole, F.lit(pattern)).cast("long")
     words = F.filter(F.split(whole, f"[{BLANK_CLASS}]+", -1), lambda w: w != "")
     full = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    functions = F.array(*(F.xxhash64(F.lit(w)) for w in FUNCTION_WORDS))
     of_words = let(
         F.transform(words, lambda w: F.xxhash64(w)),
         lambda h: F.struct(
             F.size(h).alias("n"),
             covered(h).alias("r"),
             F.size(F.array_distinct(h)).alias("d"),
-            F.size(F.filter(h, lambda x: F.array_contains(functions, x))).alias("f"),
+            F.size(F.filter(h, lambda x: x.isin(FUNCTION_HASHES))).alias("f"),
         ),
     )
     of_lines = let(full, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d")))
@@ -231,7 +240,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    counts = docs.select(features(F.col("text")).alias("_tw_f"))
-    _, kept = verdict(fitted(counts, "_tw_f"), "_tw_f")
-    return docs.withColumn("_tw_f", features(F.col("text"))).where(kept).select(docs.columns)
+    """The rows of ``docs`` that are kept, with all their columns. Features are computed once, and stored beside the rows."""
+    of = "_f"
+    while of in map(str.lower, docs.columns):
+        of += "_"
+    featured = materialise(docs.withColumn(of, features(F.col("text"))), "featured")
+    _, kept = verdict(fitted(featured, of), of)
+    return featured.where(kept).select(docs.columns)
