@@ -20,6 +20,7 @@ Other columns, whatever their names, play no part.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -61,28 +62,41 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = dict(enumerate(byte_letters()))
-        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         if PLAIN.search(text):
             ids = self.whole.encode(text, add_special_tokens=False).ids
             return np.array(ids, dtype="<u4").tobytes()
-        words = WORDS.findall(text.lower())
-        found = list(map(self.cache.get, words))
+        # No word has a blank in it, so what lies between blanks is cut by itself.
+        chunks = text.lower().split()
+        found = list(map(self.chunks.get, chunks))
         if None in found:
-            if len(self.cache) > CACHE_SIZE:
-                self.cache.clear()
-            for i, (w, ids) in enumerate(zip(words, found, strict=True)):
+            for cache in (self.chunks, self.words):
+                if len(cache) > CACHE_SIZE:
+                    cache.clear()
+            for i, (c, ids) in enumerate(zip(chunks, found, strict=True)):
                 if ids is None:
-                    if (ids := self.cache.get(w)) is None:
-                        ids = self.cache[w] = self.word(w)
-                    found[i] = ids
+                    found[i] = self.chunk(c)
+        return b"".join(found)
+
+    def chunk(self, chunk: str) -> bytes:
+        """Ids of what lies between blanks. It is kept once its words are known, so that rare ones don't fill the cache."""
+        words = WORDS.findall(chunk)
+        found = list(map(self.words.get, words))
+        if None not in found:
+            ids = self.chunks[chunk] = b"".join(found)
+            return ids
+        for i, w in enumerate(words):
+            if found[i] is None:
+                found[i] = self.words[w] = self.word(w)
         return b"".join(found)
 
     def word(self, word: str) -> bytes:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(word)])}I", *ids)
 
 
 SCHEMA = pa.schema(
