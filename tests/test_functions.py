@@ -115,6 +115,19 @@ def test_sealed_payloads():
         crypto.decrypt(key, told[:-4] + "AAA=")
 
 
+def test_payloads_are_sealed_and_opened_together():
+    texts = [b"x" * n for n in (1, 32, 33, 65, 5000, 65535)]
+    keys, nonces = [bytes([i]) * 32 for i in range(len(texts))], [bytes([7, i]) * 16 for i in range(len(texts))]
+    told = crypto.encrypt_each(keys, texts, nonces)
+    assert told == [crypto.encrypt(*one) for one in zip(keys, texts, nonces, strict=True)]
+    assert crypto.decrypt_each(keys, told) == texts
+    wrong = [told[0][:-4] + "AAA=", told[1], None, "é", told[4], told[5]]
+    assert crypto.decrypt_each([*keys[:5], None], wrong) == [None, texts[1], None, None, texts[4], None]
+    # The stream of the cipher for a key of 0 to 31, by the standard that defines it, in two blocks.
+    stream = crypto.chacha20(bytes(range(32)), bytes.fromhex("000000000000004a00000000"), bytes(128))[64:]
+    assert stream.hex().startswith("224f51f3401bd9e12fde276fb8631ded8c131f823d2c06e27e4fcaec9ef3cf78")
+
+
 def sealed(author: bytes, to: bytes, note: dict) -> dict:
     seal = {"pubkey": crypto.public_key(author).hex(), "created_at": 6, "kind": 13, "tags": []}
     seal["content"] = crypto.encrypt(crypto.conversation_key(author, to), json.dumps(note).encode())
@@ -141,6 +154,24 @@ def test_envelopes(spark):
     assert all(r["flags"] == 2 and r["sig"][64:] == r["envelope_id"] for r in found)
 
 
+def test_envelopes_are_opened_in_one_pass(spark):
+    """Each envelope is opened once: the rounds are no branches of the plan that begin anew."""
+    (a, _), (b, _) = crypto.new_key(), crypto.new_key()
+    outer, key, own = crypto.private_keys(a)
+    other, other_key, _ = crypto.private_keys(b)
+    told = json.dumps({"created_at": 1, "kind": 1, "tags": [], "content": "deep"})
+    for i in range(4):
+        told = json.dumps({"created_at": i, "kind": 1080, "tags": [], "content": crypto.encrypt(key, told.encode()), "pubkey": outer.hex()})
+    rows = [("01" * 32, 1080, outer.hex(), crypto.encrypt(key, told.encode())), ("02" * 32, 1080, other.hex(), crypto.encrypt(other_key, told.encode()))]
+    rows += [("03" * 32, 1059, None, "x"), ("04" * 32, 1080, outer.hex(), None), ("05" * 32, 1080, outer.hex(), crypto.encrypt(key, b"[1]"))]
+    notes = spark.createDataFrame(rows, "id string, kind long, pubkey string, content string")
+    found = crypto.unwrapped(notes, crypto.Keys((a,)))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r["created_at"], r["kind"]) for r in found.collect()] == [(3, 1080), (2, 1080), (1, 1080)]
+    deepest = crypto.unwrapped(notes, crypto.Keys((a, b)), depth=9).collect()
+    assert sorted(r["content"] for r in deepest if r["kind"] == 1) == ["deep", "deep"] and len(deepest) == 10
+
+
 def test_tags(spark):
     one, two, three = ("1" * 64, "2" * 64, "3" * 64)
     rows = [
