@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -9,7 +10,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewell.functions import codecs, content, crypto, tags, text
+from tidewell.functions import codecs, content, crypto, points, tags, text
 
 HASH_INVOICE = (
     "lnbc12n1pjctuljsp57l6za0xry37prkrz7vuv4324ljnssm8ukr2vrf6qvvrgclsmpyhspp5xqfuk89duzjlt2yg56ym7p3enrfxxltyfpc364qc8nsu3kznkl8s"
@@ -103,6 +104,37 @@ def test_signatures():
     assert not crypto.verify(crypto.public_key(key), bytes([1]) + bytes(31), sig)
 
 
+def test_signatures_of_many(spark):
+    (key, author), (_, rare) = (crypto.new_key() for _ in range(2))
+    ids = [hashlib.sha256(bytes([i])).digest() for i in range(100)]
+    sigs = points.sign_each(key, ids, bytes(32))
+    assert sigs == [crypto.sign(key, i, bytes(32)) for i in ids]
+    rows = [(author, i, s) for i, s in zip(ids, sigs, strict=True)]
+    rows[3] = (author, ids[4], sigs[3])
+    rows[5] = (author, ids[5], sigs[5][:32] + crypto.N.to_bytes(32, "big"))
+    rows[6] = (author, ids[6], crypto.P.to_bytes(32, "big") + sigs[6][32:])
+    rows[7], rows[8], rows[9] = None, (author, ids[8], sigs[8][:63]), (rare, ids[9], sigs[9])
+    # Half of all x have no point; the other half are some author's.
+    rows += [(bytes(31) + b"\5", ids[0], sigs[0])] * 40 + [(b"\xff" * 32, ids[0], sigs[0])] * 40
+    wanted = [bool(r) and crypto.verify(*r) for r in rows]
+    assert points.verify_each(rows) == wanted and sum(wanted) == 94
+    told = [tuple(v.hex() for v in r) if r else (None, None, "xyz") for r in rows]
+    told = spark.createDataFrame([(n, *r) for n, r in enumerate(told)], "n int, p string, i string, s string").coalesce(1)
+    got = told.select("n", crypto.verified(F.col("p"), F.col("i"), F.col("s")).alias("v")).collect()
+    assert [r["v"] for r in sorted(got)] == wanted
+
+
+def test_sums_of_the_curve():
+    # Numbers of the field at its ends, and numbers of which the sum is infinity or nothing is left of a table.
+    values = [0, 1, crypto.P - 1, 2**256 - 2**32 - 978, 2**255, 977, 2**32]
+    assert points.ints(points.mul(points.limbs(values), points.limbs(values[::-1]))) == [a * b % crypto.P for a, b in zip(values, values[::-1], strict=True)]
+    numbers = [0, 1, 2, 5, crypto.N - 1, crypto.N - 5, 2**255]
+    two = points.Table(crypto.affine(crypto.double((*crypto.G, 1))), 4)
+    found = points.sums([points.generator_table(), two], [numbers, [0, 0, 1, 2, 0, 5, (crypto.N - 2**255) * pow(2, -1, crypto.N) % crypto.N]])
+    wanted = [0, 1, 4, 9, crypto.N - 1, 5, 0]
+    assert [p and tuple(p) for p in found] == [crypto.affine(crypto.times_generator(k)) for k in wanted]
+
+
 def test_sealed_payloads():
     key = crypto.conversation_key((1).to_bytes(32, "big"), crypto.public_key((2).to_bytes(32, "big")))
     assert key.hex() == "c41c775356fd92eadc63ff5a0dc1da211b268cbea22316767095b2871ea1412d"
