@@ -47,6 +47,36 @@ def test_invoices_round_trip(amount, timestamp, description, expiry):
     assert (found["amount_msat"], found["timestamp"], found["description"], found["expiry"]) == (msats, timestamp, description, expiry)
 
 
+def test_checksums_and_regrouping():
+    def bit_by_bit(values: list[int]) -> int:
+        c = 1
+        for v in values:
+            top, c = c >> 25, (c & 0x1FFFFFF) << 5 ^ v
+            for i, g in enumerate(codecs.GENERATOR):
+                c ^= g if top >> i & 1 else 0
+        return c
+
+    # Texts of any length, also beyond what is summed at once, and prefixes of any characters.
+    for n in (0, 1, 6, 52, 1017, 1018, 1019, 2036, 2037, 5000):
+        digits = bytes((i * i + n) % 32 for i in range(n))
+        for prefix in ("npub", "a1", "\u6f22"):
+            assert codecs.checksum(prefix, digits) == (bit_by_bit(codecs.expanded(prefix) + list(digits)) if n else codecs.checksum_of_prefix(prefix))
+        raw = digits.hex().encode()
+        assert codecs.as_bytes(codecs.as_digits(raw)) == raw
+        assert codecs.bech32_decode(codecs.bech32_encode("npub", raw)) == ("npub", codecs.as_digits(raw))
+    # Five zeros over, bits that aren't zero over, and three zeros over.
+    assert [codecs.as_bytes(d) for d in (b"\0", bytes([1, 1]), bytes([1, 4]), b"")] == [None, None, b"\x09", b""]
+    name = codecs.bech32_encode("npub", bytes(32))
+    assert all(codecs.bech32_decode(t) is None for t in (name[:-1] + "é", name.replace("qq", "qb", 1), name[:9] + name[9:].upper()))
+
+
+def test_blocks_by_columns():
+    npub, invoice = codecs.bech32_encode("npub", bytes(32)), codecs.encode_invoice("25u", 1, "é")
+    told = [None, "", "plain", f"#é @{npub} https://a.b/c #[3] {invoice} nostr:{npub}", "#x"]
+    wanted = [content.parse(t) for t in told]
+    assert content.blocks_of(told, frozenset()).to_pylist() == wanted and content.blocks_of([], frozenset()).to_pylist() == []
+
+
 @given(st.integers(1, crypto.N - 1))
 def test_multiples_of_points(k):
     assert crypto.affine(crypto.times_generator(k)) == crypto.affine(crypto.times(k, crypto.G))

@@ -19,6 +19,11 @@ def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["bech32_decode", "bech32_fields", "content_parts", "invoice_decode"])
+def test_one_file_fills_all_cores(spark, name):
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
 def test_entry(spark):
     import __spark_entry__
 
