@@ -217,6 +217,17 @@ def test_envelopes_are_opened_once_a_key_arrives(spark):
     assert crypto.reprocess(marked, crypto.Keys((SECRET,)))[0].count() == 0
 
 
+def test_relays_of_lines_in_packed_files(spark, tmp_path):
+    notes = [signed(content=str(i)) for i in range(20)]
+    lines = spark.createDataFrame([(json.dumps(n),) for n in notes + notes], "value string").repartition(4)
+    lines.write.text(str(tmp_path / "in"), compression="gzip")
+    found = events.ingest(spark, str(tmp_path / "in"), "wss://a", verify=False)[1]
+    assert sorted((r["id"], r["relay"]) for r in found.collect()) == sorted((n["id"], "wss://a") for n in notes)
+    # What is shuffled is an id's bytes, not its letters.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_id" in plan
+
+
 def test_derived_tables(spark):
     rows = [(1, "a" * 64, "b" * 64, 1, 1, "see #tag", [["e", "c" * 64]]), (2, "d" * 64, "b" * 64, 2, 0, '{"name":"N"}', [])]
     made = {n: df.count() for n, df in maintenance.derived(notes_of(spark, rows)).items()}

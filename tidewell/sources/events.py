@@ -63,6 +63,12 @@ def seen(found: DataFrame) -> DataFrame:
     return rows.select(F.lower(F.get_json_object("event", "$.id")).alias("id"), "relay").where("id IS NOT NULL").distinct()
 
 
+def distinct_seen(events: DataFrame) -> DataFrame:
+    """(id, relay) of events, each once. Ids, which :func:`parse` gives in lower case, are shuffled as bytes, half as long as their text."""
+    short = events.select(F.unhex("id").alias("_id"), "relay").distinct()
+    return short.select(F.lower(F.hex("_id")).alias("id"), "relay")
+
+
 def with_reposted(events: DataFrame) -> DataFrame:
     """Events, and those that kind-6 events hold as their content."""
     inner = events.where(F.col("kind") == REPOST_KIND).select(
@@ -140,4 +146,4 @@ def ingest(
     # Which of equal ids is taken is decided among those whose signature is good.
     good = deduplicated(checked(events, decision, verify, stored))
     notes = with_keys(good.drop("_order", "relay"), after)
-    return notes, events.where("relay IS NOT NULL").select("id", "relay").distinct()
+    return notes, distinct_seen(events.where("relay IS NOT NULL"))
